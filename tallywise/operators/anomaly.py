@@ -21,8 +21,9 @@ from tallywise.functions.scalars import (
     week_start,
     whole_days,
 )
-from tallywise.operators.ordered import exact_quantiles, split_lag
+from tallywise.operators.ordered import quantiles_of_counts, split_lag, value_counts
 from tallywise.operators.summary import conditional_totals, mean_by, median_by, row_counts
+from tallywise.session import cut_lineage
 
 # Probability edges of the ratio bins and of the gap bins.
 RATIO_PROBABILITIES = (0, 0.0001, 0.0005, 0.01, 0.05, 0.2, 0.5, 0.8, 0.95, 0.99, 0.9999, 0.99995, 1.0)
@@ -45,17 +46,12 @@ def group_ratio(df: DataFrame, keys: Sequence[str], amount: str = "amount", stat
 
 # ---------------------------------------------------------------- quantile bins
 
-def bin_edges(df: DataFrame, value: str, probs: Sequence[float], duplicates: str = "raise",
-              round_to: int | None = None, weight: str | None = None) -> DataFrame:
-    """One row, one array: the quantile edges of the whole column.
+def bin_edges(counts: DataFrame, probs: Sequence[float], duplicates: str = "raise",
+              round_to: int | None = None) -> DataFrame:
+    """One row, one array: the quantile edges of a table of counted values.
 
-    With ``weight`` the table already holds one row per distinct value, few enough for one
-    ``percentile``. Repeated edges are an error, or are merged with ``duplicates="drop"``.
+    Repeated edges are an error, or are merged with ``duplicates="drop"``.
     """
-    if weight is None:
-        edges = exact_quantiles(df, [], value, list(probs)).select("quantiles")
-    else:
-        edges = df.agg(F.percentile(value, [float(p) for p in probs], F.col(weight)).alias("quantiles"))
     q = F.col("quantiles")
     if round_to is not None:
         q = F.transform(q, lambda e: F.round(e, round_to))
@@ -64,7 +60,7 @@ def bin_edges(df: DataFrame, value: str, probs: Sequence[float], duplicates: str
     else:
         repeated = F.size(F.array_distinct(q)) < F.size(q)
         q = F.when(repeated, F.raise_error(F.lit("bin edges must be unique")).cast("array<double>")).otherwise(q)
-    return edges.select(q.alias("edges"))
+    return quantiles_of_counts(counts, [], list(probs)).select(q.alias("edges"))
 
 
 def assign_bins(df: DataFrame, value: str, edges: DataFrame, n_edges: int, name: str = "bin_id") -> DataFrame:
@@ -94,14 +90,22 @@ def probability_bins(spark, probs: Sequence[float]) -> DataFrame:
 
 def quantile_bins(df: DataFrame, value: str, probs: Sequence[float] = RATIO_PROBABILITIES,
                   duplicates: str = "raise", round_to: int | None = None) -> DataFrame:
-    """Rows with the id of their quantile bin."""
-    edges = bin_edges(df, value, probs, duplicates, round_to)
+    """Rows with the id of their quantile bin; with ``round_to`` value and edges are compared rounded."""
+    if round_to is not None:
+        df = df.withColumn(value, F.round(value, round_to))
+    edges = bin_edges(value_counts(df, [], value), probs, duplicates, round_to)
     return assign_bins(df, value, edges, len(probs))
 
 
-def bin_stats(binned: DataFrame, value: str) -> DataFrame:
-    return binned.where(F.col("bin_id").isNotNull()).groupBy("bin_id").agg(
-        F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"))
+def bin_stats(df: DataFrame, value: str, probs: Sequence[float] = RATIO_PROBABILITIES,
+              duplicates: str = "raise", round_to: int | None = None) -> DataFrame:
+    """Count, min and max per quantile bin. The input is read once, into counted values."""
+    if round_to is not None:
+        df = df.withColumn(value, F.round(value, round_to))
+    counts = value_counts(df, [], value)
+    edges = bin_edges(counts, probs, duplicates, round_to)
+    return assign_bins(counts, "v", edges, len(probs)).groupBy("bin_id").agg(
+        F.sum("c").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"))
 
 
 def extremes(df: DataFrame, value: str, ties: Sequence[str], below: float = 0.0, above: float = 100.0,
@@ -180,23 +184,33 @@ def monthly_spike(df: DataFrame, entity: str = "vendor", period: str = "ym", amo
     ``history="transactions"`` compares the total with mean and deviation of single amounts, as the
     original analysis does; ``history="totals"`` compares it with those of the monthly totals.
     """
-    base = df.dropna(subset=[entity])
-    totals = base.dropna(subset=[period]).groupBy(entity, period).agg(
-        F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)).alias("monthly_tot"))
-    own = Window.partitionBy(entity)
     x = F.col(amount).cast("double")
+    months = df.dropna(subset=[entity]).groupBy(entity, period).agg(
+        F.coalesce(F.sum(amount).cast("double"), F.lit(0.0)).alias("monthly_tot"),
+        F.count(x).alias("_n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("_avg"),
+        F.coalesce(F.var_samp(x), F.lit(0.0)).alias("_var"),
+    )
+    own = Window.partitionBy(entity)
     if history == "transactions":
-        stats = base.groupBy(entity).agg(F.avg(x).alias("monthly_avg"), F.stddev_samp(x).alias("monthly_std"))
-        rows = totals.withColumn("n_months", F.count(F.lit(1)).over(own)).join(stats, entity, "left")
+        # Mean and deviation of single amounts, put together from those of the months.
+        n = F.sum("_n").over(own)
+        within = (F.col("_n") - F.least(F.col("_n"), F.lit(1))) * F.col("_var")
+        between = F.col("_n") * (F.col("_avg") - F.col("monthly_avg")) * (F.col("_avg") - F.col("monthly_avg"))
+        rows = months.withColumn(
+            "monthly_avg", F.try_divide(F.sum(F.col("_n") * F.col("_avg")).over(own), n.cast("double")),
+        ).withColumn(
+            "monthly_std", F.sqrt(F.try_divide(F.sum(within + between).over(own), F.when(n > 1, (n - 1).cast("double")))))
+        rows = rows.withColumn("n_months", F.count(period).over(own)).where(F.col(period).isNotNull())
     else:
-        rows = totals.withColumns({
+        rows = months.where(F.col(period).isNotNull()).withColumns({
             "n_months": F.count(F.lit(1)).over(own),
             "monthly_avg": F.avg("monthly_tot").over(own),
             "monthly_std": F.stddev_samp("monthly_tot").over(own),
         })
     far = F.abs(F.col("monthly_tot") - F.col("monthly_avg")) > sigmas * F.col("monthly_std")
-    return rows.where(F.col("n_months") > min_periods).withColumn(
-        "anomaly", safe_flag(far & (F.col("monthly_tot") > min_total)))
+    return rows.where(F.col("n_months") > min_periods).select(
+        entity, period, "monthly_tot", "n_months", "monthly_avg", "monthly_std",
+        safe_flag(far & (F.col("monthly_tot") > min_total)).alias("anomaly"))
 
 
 def velocity(df: DataFrame, entity: Sequence[str], ts: str = "txn_ts", period: str = "day",
@@ -265,9 +279,9 @@ def gap_counts(df: DataFrame, entity: Sequence[str], ts: str) -> DataFrame:
 def gap_bins(df: DataFrame, entity: Sequence[str], ts: str,
              probs: Sequence[float] = GAP_PROBABILITIES) -> DataFrame:
     """Quantile bins of the gaps with their counts, repeated edges merged, empty bins at 0."""
-    counts = gap_counts(df, entity, ts)
-    edges = bin_edges(counts, "days", probs, duplicates="drop", weight="n")
-    hits = assign_bins(counts, "days", edges, len(probs)).groupBy("bin_id").agg(F.sum("n").alias("count"))
+    counts = cut_lineage(gap_counts(df, entity, ts).select(F.col("days").cast("double").alias("v"), F.col("n").alias("c")))
+    edges = cut_lineage(bin_edges(counts, probs, duplicates="drop"))
+    hits = assign_bins(counts, "v", edges, len(probs)).groupBy("bin_id").agg(F.sum("c").alias("count"))
     return bin_table(edges).join(hits, "bin_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 

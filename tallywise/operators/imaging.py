@@ -33,39 +33,56 @@ def mode_color(pixels: DataFrame) -> DataFrame:
 
 
 def _assign(colors: DataFrame, centers: DataFrame) -> DataFrame:
-    """Colours with their nearest centre, ties to the lower number; ``k`` centres per image."""
-    packed = centers.groupBy("image_id").agg(F.collect_list(F.struct("cluster", "cr", "cg", "cb")).alias("c"))
-
+    """Colours with the number of their nearest centre, ties to the lower number."""
     def far(center):
-        dist = sum((F.col(p) - center[f"c{p}"]) * (F.col(p) - center[f"c{p}"]) for p in RGB)
+        dist = sum((F.col(p) - center[p]) * (F.col(p) - center[p]) for p in RGB)
         return F.struct(dist.alias("d"), center["cluster"].alias("cluster"))
 
-    joined = colors.join(packed, "image_id")
-    return joined.withColumn("cluster", F.array_min(F.transform("c", far))["cluster"]).drop("c")
+    joined = colors.join(centers, "image_id")
+    return joined.withColumn("cluster", F.array_min(F.transform("centers", far))["cluster"])
+
+
+def _moved(assigned: DataFrame, k: int) -> DataFrame:
+    """Centres at the mean of their colours; one that lost all its colours stays where it was."""
+    sums = []
+    for i in range(k):
+        mine = F.col("cluster") == i
+        sums.append(F.sum(F.when(mine, F.col("n"))).alias(f"n{i}"))
+        sums += [F.sum(F.when(mine, F.col(c).cast("bigint") * F.col("n"))).alias(f"{c}{i}") for c in RGB]
+    per_image = assigned.groupBy("image_id").agg(F.any_value("centers").alias("old"), *sums)
+
+    def center(i: int):
+        old = F.get("old", F.lit(i))
+        means = [F.try_divide(F.col(f"{c}{i}").cast("double"), F.col(f"n{i}").cast("double")) for c in RGB]
+        return F.when(old.isNotNull(), F.struct(
+            F.lit(i).alias("cluster"), *[F.coalesce(m, old[c]).alias(c) for m, c in zip(means, RGB)]))
+
+    centers = F.filter(F.array(*[center(i) for i in range(k)]), lambda c: c.isNotNull())
+    return per_image.select("image_id", centers.alias("centers"))
 
 
 def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
     """K-means per image, all images at once: (centres, colours with their cluster).
 
-    Starts from the ``k`` most frequent colours. Each round is one join and one aggregate over the
-    counted colours; sums of whole numbers make the result the same in every run. A centre that
-    loses all its colours stays where it was.
+    Starts from the ``k`` most frequent colours. Each round is one join of the counted colours with
+    one row of centres per image and one aggregate; sums of whole numbers make the result the same
+    in every run.
     """
     colors = cut_lineage(color_counts(pixels))
     order = Window.partitionBy("image_id").orderBy(F.col("n").desc(), *RGB)
+    start = F.struct(
+        (F.row_number().over(order) - 1).alias("cluster"), *[F.col(c).cast("double").alias(c) for c in RGB])
+    # Ranking keeps only the first k rows of each task; the lists hold k entries.
     centers = (
-        colors.withColumn("cluster", F.row_number().over(order) - 1).where(F.col("cluster") < k)
-        .select("image_id", "cluster", *[F.col(c).cast("double").alias(f"c{c}") for c in RGB])
+        colors.select("image_id", start.alias("s")).where(F.col("s.cluster") < k)
+        .groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("centers"))
     )
     for _ in range(iterations):
-        sums = _assign(colors, centers).groupBy("image_id", "cluster").agg(
-            F.sum("n").alias("_n"), *[F.sum(F.col(c).cast("bigint") * F.col("n")).alias(f"_{c}") for c in RGB])
-        moved = centers.join(sums, ["image_id", "cluster"], "left").select(
-            "image_id", "cluster",
-            *[F.coalesce(F.try_divide(F.col(f"_{c}").cast("double"), F.col("_n").cast("double")), F.col(f"c{c}")).alias(f"c{c}") for c in RGB])
-        # Both the next centres and the next assignment read this small table.
-        centers = cut_lineage(moved)
-    return centers, _assign(colors, centers)
+        centers = _moved(_assign(colors, centers), k)
+    centers = cut_lineage(centers)
+    flat = centers.select("image_id", F.explode("centers").alias("s")).select(
+        "image_id", "s.cluster", *[F.col(f"s.{c}").alias(f"c{c}") for c in RGB])
+    return flat, _assign(colors, centers).drop("centers")
 
 
 def cluster_share(assigned: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Order-dependent building blocks that never put a whole group or table into one task.
 
-* ``exact_quantiles``: exact interpolated quantiles per key, by a sketch that fences each wanted
-  rank and one counting pass over the rows; only values inside the narrow fences are kept apart.
+* ``value_counts`` / ``quantiles_of_counts``: exact quantiles per key from counted values. A key
+  with few distinct values takes Spark's ``percentile``; one with many is cut into value ranges.
 * ``running_totals``: cumulative sums over the distinct values of a column, split into value ranges.
 * ``split_lag``: the previous row of an entity, with the entity split into time buckets.
 * ``rank_cuts`` / ``rank_part``: exact n-tiles of a total order, by their boundary rows.
@@ -9,131 +9,114 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import count_true
+from tallywise.session import cut_lineage
 
 BUCKETS = 1024
 ACCURACY = 10_000
+# A group with up to this many distinct values may be held by one task.
+SMALL_GROUP = 1_000_000
 
 
-# ---------------------------------------------------------------- exact order statistics
-
 def _not_null(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(names)) if names else df
 
 
-def _rank_cells(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                accuracy: int) -> DataFrame:
-    """Cells in value order per key, each with its first rank, its count and its end values.
+# ---------------------------------------------------------------- exact quantiles
 
-    Near each wanted probability a cell is one value; the stretch between two fences is one cell.
-    A mergeable sketch gives the fences, so rows leave the map side already counted.
-    """
-    keys = list(keys)
-    # The sketch is off by at most n/accuracy ranks; three times that is a safe fence.
-    margin = 3.0 / accuracy
-    low = [max(p - margin, 0.0) for p in probs]
-    high = [min(p + margin, 1.0) for p in probs]
-    base = _not_null(df, [*keys, value]).select(*keys, F.col(value).cast("double").alias("_v"))
-    fences = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", low + high, accuracy).alias("_f"),
-    )
-    if keys:
-        marked = base.join(fences, keys)
-    else:
-        row = fences.select(F.struct("_n", "_f").alias("s")).scalar()
-        marked = base.withColumn("_s", row).select("_v", F.col("_s._n"), F.col("_s._f"))
-    m = len(probs)
-    lows = [F.get("_f", F.lit(i)) for i in range(m)]
-    highs = [F.get("_f", F.lit(m + i)) for i in range(m)]
-    v = F.col("_v")
-    fenced = reduce(lambda a, b: a | b, [(v >= a) & (v <= b) for a, b in zip(lows, highs)])
-    cells = (
-        marked.select(*keys, "_n", "_v", count_true([v > b for b in highs]).alias("_seg"),
-                      F.when(fenced, v).alias("_single"))
-        .groupBy(*keys, "_seg", "_single")
-        .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-             F.max("_n").alias("_n"))
-    )
-    # Ranks in two steps, so that no task sorts all the fences of one key: offset of the segment
-    # (at most m + 1 rows per key), then the running count inside the segment.
-    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cells.groupBy(*keys, "_seg").agg(F.sum("_cnt").alias("_seg_cnt"))
-        .select(*keys, "_seg", F.coalesce(F.sum("_seg_cnt").over(before), F.lit(0)).alias("_off"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "_seg").orderBy("_lo")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        cells.withColumn("_run", F.sum("_cnt").over(inside))
-        .join(offsets, [*keys, "_seg"])
-        .withColumn("_start", F.col("_off") + F.col("_run") - F.col("_cnt"))
-    )
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Stored table ``(keys, v, c)``: how often each value occurs in each group.
 
+    The input is read once. Equal values meet on the map side, and the exchange is by key and
+    value, so a group with most of the rows is spread over all tasks. NULLs are left out.
+    """
+    base = _not_null(df, [*keys, value]).select(*keys, F.col(value).cast("double").alias("v"))
+    return cut_lineage(base.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c")))
 
-def _value_at(rank: Column) -> Column:
-    """The value at a 0-based rank if this cell holds it, else NULL."""
-    start, cnt, lo, hi = F.col("_start"), F.col("_cnt"), F.col("_lo"), F.col("_hi")
-    missed = F.raise_error(F.lit("a rank fell between the fences; use a higher accuracy")).cast("double")
-    found = (
-        F.when(lo == hi, lo).when(rank == start, lo).when(rank == start + cnt - 1, hi)
-        .otherwise(missed)
-    )
-    return F.when((rank >= start) & (rank < start + cnt), found)
 
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Sequence[float],
+                        name: str = "quantiles", small_group: int = SMALL_GROUP) -> DataFrame:
+    """Per key the row count ``n`` and an array of linearly interpolated quantiles."""
+    keys = list(keys)
+    probs = [float(p) for p in probs]
+    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
+    largest = sizes.agg(F.max("_d")).first()[0] or 0
 
-def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
-                     wanted: Sequence[tuple[float, Callable[[Column], Column]]],
-                     accuracy: int = ACCURACY) -> DataFrame:
-    """Per key ``_n`` and ``_x0, _x1, ...``: the values at the wanted 0-based ranks.
+    def held_by_one_task(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile("v", probs, F.col("c")).alias(name))
 
-    ``wanted`` pairs a probability near the rank with a function from the row count to the rank.
-    """
-    cells = _rank_cells(df, keys, value, [p for p, _ in wanted], accuracy)
-    picks = [
-        F.max(_value_at(rank(F.col("_n")))).alias(f"_x{i}") for i, (_, rank) in enumerate(wanted)
-    ]
-    return cells.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+    if largest <= small_group:
+        found = held_by_one_task(counts)
+        return found if keys else found.where(F.col("n").isNotNull())
+    if not keys:
+        return _quantiles_by_range(counts, keys, probs, name)
+    large = sizes.where(F.col("_d") > small_group).select(*keys)
+    return held_by_one_task(counts.join(large, keys, "left_anti")).unionByName(
+        _quantiles_by_range(counts.join(large, keys, "left_semi"), keys, probs, name))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    accuracy: int = ACCURACY, name: str = "quantiles") -> DataFrame:
-    """Per key the row count ``n`` and an array of quantiles, linearly interpolated.
+def _quantiles_by_range(counts: DataFrame, keys: list[str], probs: Sequence[float], name: str) -> DataFrame:
+    """Quantiles of groups too large for one task.
 
-    NULL values and NULL keys are left out. Any group may hold most of the rows.
+    Values are cut into ranges of about equal numbers of distinct values; the totals of the ranges
+    tell which of them hold a wanted rank, and only those are put in order.
     """
-    wanted = []
-    for p in probs:
-        wanted.append((p, lambda n, p=p: F.floor(F.lit(float(p)) * (n - 1))))
-        wanted.append((p, lambda n, p=p: F.ceil(F.lit(float(p)) * (n - 1))))
-    # Both ranks of one probability share a fence.
-    cells = _rank_cells(df, keys, value, list(probs), accuracy)
-    picks = [F.max(_value_at(rank(F.col("_n")))).alias(f"_x{i}") for i, (_, rank) in enumerate(wanted)]
-    found = cells.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
+    if keys:
+        per_key = counts.groupBy(*keys).agg(_even_cuts("v", BUCKETS).alias("_edges"))
+        ranged = counts.join(per_key, keys)
+    else:
+        ranged = counts.withColumn("_edges", range_edges(counts, "v").scalar())
+    ranged = ranged.withColumn("_b", range_bucket(F.col("v"), F.col("_edges"))).drop("_edges")
+    along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_b").agg(F.sum("c").alias("_size")).withColumns({
+        "_off": F.coalesce(F.sum("_size").over(along), F.lit(0)),
+        "n": F.sum("_size").over(Window.partitionBy(*keys)),
+    })
+    position = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    ranks = [f(x) for x in position for f in (F.floor, F.ceil)]
+    wanted = totals.withColumn("_ranks", F.array(*ranks)).withColumn(
+        "_hit", F.exists("_ranks", lambda r: (r >= F.col("_off")) & (r < F.col("_off") + F.col("_size"))))
+    inside = Window.partitionBy(*keys, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        ranged.join(wanted.where("_hit").select(*keys, "_b", "_off", "n", "_ranks"), [*keys, "_b"])
+        .withColumn("_to", F.col("_off") + F.sum("c").over(inside))
+    )
+    at_ranks = placed.select(*keys, "n", "v", "c", "_to", F.posexplode("_ranks").alias("_i", "_r")).where(
+        (F.col("_r") < F.col("_to")) & (F.col("_r") >= F.col("_to") - F.col("c")))
+    # Two entries per probability and key.
+    by_rank = at_ranks.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_i", "v"))).alias("_m"))
 
     def between(i: int, p: float) -> Column:
-        lower, upper = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}")
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        return lower + (upper - lower) * (position - F.floor(position))
+        low, high = F.col("_m")[2 * i], F.col("_m")[2 * i + 1]
+        at = F.lit(p) * (F.col("n") - 1)
+        return low + (high - low) * (at - F.floor(at))
 
-    return found.select(*keys, "n", F.array(*[between(i, p) for i, p in enumerate(probs)]).alias(name))
+    return by_rank.select(*keys, "n", F.array(*[between(i, p) for i, p in enumerate(probs)]).alias(name))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
+                    name: str = "quantiles") -> DataFrame:
+    return quantiles_of_counts(value_counts(df, keys, value), keys, probs, name)
 
 
 # ---------------------------------------------------------------- value ranges
 
 def range_edges(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
     """One row with ``buckets - 1`` increasing edges that cut the values into about equal parts."""
-    probs = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(F.col(value), probs, max(ACCURACY, 4 * buckets)).alias("edges"))
+    return df.agg(_even_cuts(value, buckets).alias("edges"))
+
+
+def _even_cuts(value: str, buckets: int) -> Column:
+    # Written as one expression text: a thousand literal columns take longer to build than to run.
+    cuts = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    return F.expr(f"percentile_approx(`{value}`, array({cuts}), {max(ACCURACY, 4 * buckets)})")
 
 
 def range_bucket(value: Column, edges: Column, buckets: int = BUCKETS) -> Column:
@@ -149,13 +132,12 @@ def running_totals(df: DataFrame, value: str, sums: dict[str, Column], descendin
                    buckets: int = BUCKETS) -> DataFrame:
     """One row per distinct value with ``name``, ``cum_name`` and ``total_name`` for each sum.
 
-    Equal values are added up first, then each value range is summed on its own and shifted by the
-    totals of the ranges before it (at most ``buckets`` rows, hence the broadcast).
+    Equal values are added up and stored first, then each value range is summed on its own and
+    shifted by the totals of the ranges before it (at most ``buckets`` rows, hence the broadcast).
     """
-    base = _not_null(df, [value])
-    per_value = base.groupBy(value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    per_value = cut_lineage(_not_null(df, [value]).groupBy(value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     ranged = (
-        per_value.withColumn("_edges", range_edges(base, value, buckets).scalar())
+        per_value.withColumn("_edges", range_edges(per_value, value, buckets).scalar())
         .withColumn("_bucket", range_bucket(F.col(value), F.col("_edges"), buckets)).drop("_edges")
     )
     by = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
@@ -195,20 +177,18 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     spread = _not_null(df, [*keys, order[0]]).withColumn("_b", bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     buckets = Window.partitionBy(*keys).orderBy("_b")
-    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v")))
+    newest = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v")))
+    # One row per entity and bucket leaves the map side.
     ends = (
-        spread.groupBy(*keys, "_b").agg(last.alias("_end"), F.count(F.lit(1)).alias("_cnt"))
+        spread.groupBy(*keys, "_b").agg(newest.alias("_end"), F.count(F.lit(1)).alias("_cnt"))
         .select(
             *keys, "_b", F.lag("_end.v").over(buckets).alias("_carry"),
             F.coalesce(F.sum("_cnt").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         )
     )
-    out = (
-        spread.withColumn("_prev", F.lag(value).over(inside))
-        .withColumn("_at", F.row_number().over(inside))
-        .join(ends, [*keys, "_b"])
-        .withColumn(name, F.when(F.col("_at") == 1, F.col("_carry")).otherwise(F.col("_prev")))
-    )
+    placed = spread.withColumns({"_prev": F.lag(value).over(inside), "_at": F.row_number().over(inside)})
+    out = placed.join(ends, [*keys, "_b"]).withColumn(
+        name, F.when(F.col("_at") == 1, F.col("_carry")).otherwise(F.col("_prev")))
     if number:
         out = out.withColumn(number, F.col("_off") + F.col("_at"))
     return out.drop("_b", "_prev", "_at", "_carry", "_off")
@@ -220,28 +200,24 @@ def rank_cuts(df: DataFrame, score: str, tie: str, parts: int = 10) -> list[tupl
     """First row of each part but part 0, in the order score descending, tie-break ascending.
 
     Part k starts at row ``ceil(k * n / parts)``. At most ``parts - 1`` rows reach the driver. The
-    boundary scores come from exact order statistics; only where equal scores lie on both sides of
-    a boundary are the tie-breaks ranked, again split into value ranges.
+    boundary scores come from running totals; only where equal scores lie on both sides of a
+    boundary are the tie-breaks ranked, again split into value ranges.
     """
     rows = _not_null(df, [score, tie]).select(
         F.col(score).cast("double").alias("_s"), F.col(tie).alias("_t"))
-    steps = list(range(1, parts))
-
-    def ascending_rank(k: int) -> Callable[[Column], Column]:
-        return lambda n: n - 1 - F.ceil(n * k / parts)
-
-    found = order_statistics(rows, [], "_s", [(1 - k / parts, ascending_rank(k)) for k in steps]).first()
-    if found is None or found["_n"] is None:
-        return []
-    n = found["_n"]
-    cuts = [(k, found[f"_x{i}"]) for i, k in enumerate(steps) if found[f"_x{i}"] is not None]
-    if not cuts:
-        return []
-    counts = rows.agg(*[F.sum(F.when(F.col("_s") > s, 1).otherwise(0)).alias(f"a{k}") for k, s in cuts]).first()
-    skip = {k: -(-k * n // parts) - counts[f"a{k}"] for k, _ in cuts}
-    open_cuts = [(k, s, skip[k]) for k, s in cuts if skip[k] > 0]
+    totals = running_totals(rows, "_s", {"n": F.lit(1)}, descending=True)
+    first = F.col("cum_n") - F.col("n")
+    starts = F.array(*[F.struct(F.lit(k).alias("k"), F.ceil(F.col("total_n") * k / parts).alias("row"))
+                       for k in range(1, parts)])
+    found = (
+        totals.select("_s", first.alias("_from"), "cum_n", F.explode(starts).alias("p"))
+        .where((F.col("p.row") >= F.col("_from")) & (F.col("p.row") < F.col("cum_n")))
+        .select("p.k", "_s", (F.col("p.row") - F.col("_from")).alias("skip"))
+        .orderBy("k").collect()
+    )
+    open_cuts = [(r["k"], r["_s"], r["skip"]) for r in found if r["skip"] > 0]
     tie_at = _tie_positions(rows, open_cuts) if open_cuts else {}
-    return [(k, s, tie_at.get(k)) for k, s in cuts]
+    return [(r["k"], r["_s"], tie_at.get(r["k"])) for r in found]
 
 
 def _tie_positions(rows: DataFrame, cuts: list[tuple[int, float, int]]) -> dict[int, int]:
@@ -249,8 +225,7 @@ def _tie_positions(rows: DataFrame, cuts: list[tuple[int, float, int]]) -> dict[
     spark = rows.sparkSession
     scores = sorted({s for _, s, _ in cuts})
     tied = rows.where(F.col("_s").isin(*scores))
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = tied.groupBy("_s").agg(F.percentile_approx("_t", probs, ACCURACY).alias("_e"))
+    edges = tied.groupBy("_s").agg(_even_cuts("_t", BUCKETS).alias("_e"))
     # One row per boundary score: at most parts - 1 rows.
     ranged = tied.join(F.broadcast(edges), "_s").select(
         "_s", "_t", range_bucket(F.col("_t"), F.col("_e")).alias("_b"))

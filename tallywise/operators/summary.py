@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import exact_mean, half_even
-from tallywise.operators.ordered import exact_quantiles
+from tallywise.operators.ordered import exact_quantiles, quantiles_of_counts, value_counts
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
@@ -75,24 +75,24 @@ BOXPLOT_STATS = (
 
 
 def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: count, min, quartiles, max, IQR, fences and the number of values outside them."""
-    base = df.dropna(subset=[key]).select(key, F.col(value).cast("double").alias("_x"))
-    q = exact_quantiles(base, [key], "_x", [0.25, 0.5, 0.75]).select(
-        key,
-        *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))],
-    )
+    """Per key: count, min, quartiles, max, IQR, fences and the number of values outside them.
+
+    The input is read once; quartiles and outliers both come from the counted values.
+    """
+    counts = value_counts(df, [key], value)
+    q = quantiles_of_counts(counts, [key], [0.25, 0.5, 0.75]).select(
+        key, *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     bounds = (
         q.withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr"))
         .withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr"))
     )
-    x = F.col("_x")
-    outside = (x < F.col("lower_bound")) | (x > F.col("upper_bound"))
-    counts = base.join(bounds.select(key, "lower_bound", "upper_bound"), key, "left").groupBy(key).agg(
-        F.count("_x").alias("count"), F.min("_x").alias("min"), F.max("_x").alias("max"),
-        F.count_if(outside).alias("num_outliers"),
-    )
-    return counts.join(bounds, key, "left").select(
+    outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
+    return counts.join(bounds, key).groupBy(key).agg(
+        F.sum("c").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"),
+        *[F.max(c).alias(c) for c in bounds.columns if c != key],
+        F.coalesce(F.sum(F.when(outside, F.col("c"))), F.lit(0)).alias("num_outliers"),
+    ).select(
         key, "count", "min", "q1", "median", "q3", "max", "iqr", "lower_bound", "upper_bound",
         "num_outliers",
     )
@@ -110,23 +110,28 @@ def boxplot_long(box: DataFrame, key: str) -> DataFrame:
 
 def boxplot_matrix(box: DataFrame, month: str, months: Sequence[str]) -> DataFrame:
     """Figures as rows, months (``yyyy-MM``) as columns, rounded half-even to 2 places."""
+    # The inner rounding keeps the noise of interpolation from deciding ties.
     long = boxplot_long(box, month).select(
-        F.date_format(month, "yyyy-MM").alias("ym_label"), "stat", half_even(F.col("value"), 2).alias("value"))
+        F.date_format(month, "yyyy-MM").alias("ym_label"), "stat", half_even(F.round("value", 6), 2).alias("value"))
     return long.groupBy("stat").pivot("ym_label", list(months)).agg(F.first("value", ignorenulls=True))
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max of the values that are present."""
-    base = df.select(F.col(value).cast("double").alias("_x"))
-    # No rows leave no quantile row: max() keeps the one line of output.
-    q = exact_quantiles(base, [], "_x", [0.25, 0.5, 0.75]).agg(F.max("quantiles").alias("q"))
-    stats = base.agg(
-        F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"),
-    )
-    return stats.withColumn("_q", q.scalar()).select(
+    counts = value_counts(df, [], value)
+    c, v = F.col("c"), F.col("v")
+    # No values leave no quantile row: max() keeps the one line of output.
+    q = quantiles_of_counts(counts, [], [0.25, 0.5, 0.75]).agg(F.max("quantiles").alias("q")).scalar()
+    n = F.coalesce(F.sum(c), F.lit(0))
+    mean = counts.agg(F.try_divide(F.sum(v * c), F.sum(c).cast("double")).alias("m")).scalar()
+    spread = F.sum(c * (v - F.col("_m")) * (v - F.col("_m")))
+    return counts.withColumn("_m", mean).agg(
+        n.alias("count"), F.max("_m").alias("mean"),
+        F.sqrt(F.try_divide(spread, F.when(n > 1, (n - 1).cast("double")))).alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+    ).withColumn("_q", q).select(
         "count", "mean", "std", "min",
-        *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
+        *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("q25", "q50", "q75"))],
         "max",
     )
 

@@ -154,8 +154,8 @@ VENDOR_MCC = ["vendor", "mcc"]
 RATIO_OUT = ["orderkey", "linenumber", "partkey", "vendor", "mcc"]
 
 
-def _ratio(spark, sf, stat):
-    return anomaly.group_ratio(views.txn(spark, sf, [*RATIO_OUT, "amount"]), VENDOR_MCC, stat=stat, round_to=9)
+def _ratio(spark, sf, stat, round_to=9):
+    return anomaly.group_ratio(views.txn(spark, sf, [*RATIO_OUT, "amount"]), VENDOR_MCC, stat=stat, round_to=round_to)
 
 
 def _ratio_rows(df):
@@ -180,12 +180,12 @@ def zero_median_groups(spark, sf):
 
 @query()
 def ratio_to_mean(spark, sf):
-    return _ratio_rows(_ratio(spark, sf, "mean"))
+    return _ratio_rows(_ratio(spark, sf, "mean", None))
 
 
 @query()
 def ratio_to_median(spark, sf):
-    return _ratio_rows(_ratio(spark, sf, "median"))
+    return _ratio_rows(_ratio(spark, sf, "median", None))
 
 
 @query()
@@ -198,14 +198,20 @@ def ratio_bins(spark, sf):
     return studies.ratio_bin_counts(_ratio(spark, sf, "median"))
 
 
+@query()
+def ratio_bin_rows(spark, sf):
+    rows = cut_lineage(_ratio_rows(_ratio(spark, sf, "median")))
+    return anomaly.quantile_bins(rows, "ratio", round_to=9).select(*RATIO_OUT, F.col("amount"), "bin_id")
+
+
 @query()
 def ratio_bin_stats(spark, sf):
-    return anomaly.bin_stats(anomaly.quantile_bins(_ratio(spark, sf, "mean"), "ratio", round_to=9), "ratio")
+    return anomaly.bin_stats(_ratio(spark, sf, "mean"), "ratio", round_to=9)
 
 
 @query()
 def ratio_extremes(spark, sf):
-    rows = _ratio_rows(_ratio(spark, sf, "median"))
+    rows = cut_lineage(_ratio_rows(_ratio(spark, sf, "median", None)).where((F.col("ratio") < 0) | (F.col("ratio") > 1.5)))
     return anomaly.extremes(rows, "ratio", RATIO_OUT, below=0.0, above=1.5)
 
 

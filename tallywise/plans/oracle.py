@@ -97,7 +97,7 @@ def box_select(key: str) -> str:
 def box_matrix() -> str:
     named = ["count", *BOX_COLUMNS, "num_outliers"]
     long = " UNION ALL ".join(
-        f"SELECT strftime(ym, '%Y-%m') AS m, '{s}' AS stat, {even(chr(34) + c + chr(34))} AS value FROM box"
+        f"SELECT strftime(ym, '%Y-%m') AS m, '{s}' AS stat, {even(f'round("{c}"::DOUBLE, 6)')} AS value FROM box"
         for s, c in zip(BOXPLOT_STATS, named))
     months = ", ".join(f"max(value) FILTER (m = '{m}') AS \"{m}\"" for m in C.MONTHS)
     return f"WITH {TXN}, amounts AS (SELECT ym, amount::DOUBLE AS x FROM txn), {box('amounts', 'ym', 'x')}, long AS ({long}) SELECT stat, {months} FROM long GROUP BY stat"
@@ -108,7 +108,7 @@ def ratio_cte(stat: str) -> str:
     return f"""{TXN},
 stats AS (SELECT vendor, mcc, {one} AS group_stat FROM txn GROUP BY vendor, mcc),
 ratios AS (
-  SELECT t.*, group_stat,
+  SELECT t.*, group_stat, CASE WHEN group_stat = 0 THEN 0 ELSE amount::DOUBLE / group_stat END AS raw,
          round(CASE WHEN group_stat = 0 THEN 0 ELSE amount::DOUBLE / group_stat END, 9) AS ratio
   FROM txn t LEFT JOIN stats USING (vendor, mcc))"""
 
@@ -119,7 +119,7 @@ def probs(values) -> str:
 
 RATIO_BINNED = f"""
 edges AS (SELECT list_transform(quantile_cont(ratio, {probs(RATIO_PROBABILITIES)}), lambda e: round(e, 9)) AS e FROM ratios),
-binned AS (SELECT ratio, CAST(1 + len(list_filter(e[2:], lambda x: x < ratio)) AS INTEGER) AS bin_id FROM ratios, edges)"""
+binned AS (SELECT ratios.*, CAST(1 + len(list_filter(e[2:], lambda x: x < ratio)) AS INTEGER) AS bin_id FROM ratios, edges)"""
 
 RATIO_OUT = "orderkey, linenumber, partkey, vendor, mcc"
 
@@ -320,7 +320,7 @@ SELECT label, counts, {even('counts / (sum(counts) OVER ())::DOUBLE * 100')} AS
     q["vendor_mcc_mean"] = f"WITH {TXN} SELECT vendor, mcc, {rnd(stat['mean'], 'vendor_mcc_avg')} FROM txn GROUP BY vendor, mcc"
     q["vendor_mcc_median"] = f"WITH {TXN} SELECT vendor, mcc, {rnd(stat['median'], 'vendor_mcc_median')} FROM txn GROUP BY vendor, mcc"
     q["zero_median_groups"] = f"WITH {TXN}, m AS (SELECT {stat['median']} AS m FROM txn GROUP BY vendor, mcc) SELECT count(*) AS n_groups FROM m WHERE m = 0"
-    ratio_out = f"{RATIO_OUT}, {rnd('amount::DOUBLE', 'amount')}, {rnd('group_stat', 'group_stat')}, {rnd('ratio', 'ratio')}"
+    ratio_out = f"{RATIO_OUT}, {rnd('amount::DOUBLE', 'amount')}, {rnd('group_stat', 'group_stat')}, {rnd('raw', 'ratio')}"
     q["ratio_to_mean"] = f"WITH {ratio_cte('mean')} SELECT {ratio_out} FROM ratios"
     q["ratio_to_median"] = f"WITH {ratio_cte('median')} SELECT {ratio_out} FROM ratios"
     q["describe_ratio"] = f"WITH {ratio_cte('median')} {describe('ratios', 'ratio')}"
@@ -329,9 +329,10 @@ SELECT label, counts, {even('counts / (sum(counts) OVER ())::DOUBLE * 100')} AS
 SELECT bin_id, label, count(ratio) AS "count" FROM labels LEFT JOIN binned USING (bin_id) GROUP BY bin_id, label"""
     q["ratio_bin_stats"] = f"""WITH {ratio_cte('mean')}, {RATIO_BINNED}
 SELECT bin_id, count(*) AS "count", {rnd('min(ratio)', '"min"')}, {rnd('max(ratio)', '"max"')} FROM binned GROUP BY bin_id"""
+    q["ratio_bin_rows"] = f"WITH {ratio_cte('median')}, {RATIO_BINNED} SELECT {RATIO_OUT}, {rnd('amount::DOUBLE', 'amount')}, bin_id FROM binned"
     q["ratio_extremes"] = f"""WITH {ratio_cte('median')},
-lo AS (SELECT *, 'low' AS side FROM ratios WHERE ratio < 0 ORDER BY ratio, {RATIO_OUT} LIMIT 5),
-hi AS (SELECT *, 'high' AS side FROM ratios WHERE ratio > 1.5 ORDER BY ratio DESC, {RATIO_OUT} LIMIT 5)
+lo AS (SELECT *, 'low' AS side FROM ratios WHERE raw < 0 ORDER BY raw, {RATIO_OUT} LIMIT 5),
+hi AS (SELECT *, 'high' AS side FROM ratios WHERE raw > 1.5 ORDER BY raw DESC, {RATIO_OUT} LIMIT 5)
 SELECT {ratio_out}, side FROM (SELECT * FROM lo UNION ALL SELECT * FROM hi)"""
 
     lag = days("posted_ts", "txn_ts")

@@ -35,21 +35,19 @@ def spend_overview(txn: DataFrame, months: Sequence[str]) -> dict[str, DataFrame
 def ratio_bin_counts(rows: DataFrame, round_to: int | None = 9) -> DataFrame:
     """Rows per probability bin of the ratio, with the bin's label; empty bins at 0."""
     probs = anomaly.RATIO_PROBABILITIES
-    binned = anomaly.quantile_bins(rows, "ratio", probs, round_to=round_to)
-    counts = summary.row_counts(binned, ["bin_id"])
+    counts = anomaly.bin_stats(rows, "ratio", probs, round_to=round_to).select("bin_id", "count")
     labels = anomaly.probability_bins(rows.sparkSession, probs).select("bin_id", "label")
     return summary.empty_bins(labels, counts, "bin_id")
 
 
 def peer_ratio(txn: DataFrame, keys: Sequence[str], ties: Sequence[str], stat: str = "median") -> dict[str, DataFrame]:
     """Ratio to the group mean or median: description, bins, figures per bin and the extremes."""
-    rows = anomaly.group_ratio(txn, keys, stat=stat)
-    binned = anomaly.quantile_bins(rows, "ratio")
+    rows = cut_lineage(anomaly.group_ratio(txn, keys, stat=stat))
     return {
         "rows": rows,
         "description": summary.describe(rows, "ratio"),
         "bins": ratio_bin_counts(rows, None),
-        "bin_stats": anomaly.bin_stats(binned, "ratio"),
+        "bin_stats": anomaly.bin_stats(rows, "ratio"),
         "extremes": anomaly.extremes(rows, "ratio", ties),
     }
 
