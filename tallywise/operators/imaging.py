@@ -32,14 +32,15 @@ def mode_color(pixels: DataFrame) -> DataFrame:
     ).select("image_id", *[(-F.col(f"m.{c}")).alias(c) for c in RGB], F.col("m.n").alias("n"), "n_pixels")
 
 
-def _assign(colors: DataFrame, centers: DataFrame) -> DataFrame:
+def _assign(colors: DataFrame, centers: DataFrame, k: int) -> DataFrame:
     """Colours with the number of their nearest centre, ties to the lower number."""
-    def far(center):
+    def far(i: int):
+        center = F.get("centers", F.lit(i))
         dist = sum((F.col(p) - center[p]) * (F.col(p) - center[p]) for p in RGB)
-        return F.struct(dist.alias("d"), center["cluster"].alias("cluster"))
+        return F.when(center.isNotNull(), F.struct(dist.alias("d"), F.lit(i).alias("cluster")))
 
-    joined = colors.join(centers, "image_id")
-    return joined.withColumn("cluster", F.array_min(F.transform("centers", far))["cluster"])
+    nearest = F.least(*[far(i) for i in range(k)]) if k > 1 else far(0)
+    return colors.join(centers, "image_id").withColumn("cluster", nearest["cluster"])
 
 
 def _moved(assigned: DataFrame, k: int) -> DataFrame:
@@ -78,11 +79,11 @@ def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int = 10) -> tuple[
         .groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("centers"))
     )
     for _ in range(iterations):
-        centers = _moved(_assign(colors, centers), k)
+        centers = _moved(_assign(colors, centers, k), k)
     centers = cut_lineage(centers)
     flat = centers.select("image_id", F.explode("centers").alias("s")).select(
         "image_id", "s.cluster", *[F.col(f"s.{c}").alias(f"c{c}") for c in RGB])
-    return flat, _assign(colors, centers).drop("centers")
+    return flat, _assign(colors, centers, k).drop("centers")
 
 
 def cluster_share(assigned: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import parse_list_literal, softmax
 from tallywise.functions.text import drop_stop_words, one_and_two_grams, term_tokens, words
+from tallywise.session import cut_lineage
 
 # Fixed values of the published rule-based sentiment method.
 NEGATION_FACTOR = -0.74
@@ -77,28 +78,41 @@ def jaccard_mean(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 # ---------------------------------------------------------------- TF-IDF
 
-def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str]) -> DataFrame:
-    """How often each one- and two-word term occurs in each text, stop words dropped first."""
+def _terms(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """Each one- and two-word term of each text, stop words dropped first."""
     grams = one_and_two_grams(drop_stop_words(term_tokens(F.col(text)), stop_words))
-    return df.select(id_col, F.explode(grams).alias("term")).groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    return df.select(id_col, F.explode(grams).alias("term"))
 
 
-def vocabulary(counts: DataFrame, size: int = 5000) -> DataFrame:
-    """The most frequent terms of the corpus with their document frequency; at most ``size`` rows."""
-    return (
-        counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.col("total").desc(), "term").limit(size)
-    )
+def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str],
+                size: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """Stored counts per text and term, and the vocabulary with its document frequency.
+
+    The vocabulary is the ``size`` most frequent terms of the corpus. They are found first, from
+    counts that carry no text id; only their occurrences are then counted per text. The cut to
+    ``size`` rows bounds the broadcast.
+    """
+    terms = _terms(df, id_col, text, stop_words)
+    top = cut_lineage(
+        terms.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+        .orderBy(F.col("total").desc(), "term").limit(size))
+    counts = cut_lineage(
+        terms.join(F.broadcast(top.select("term")), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(top), "term")
+    return counts, vocabulary.select("term", "total", "df")
+
+
+def vocabulary(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], size: int = 5000) -> DataFrame:
+    """The most frequent terms with their total and their document frequency."""
+    return term_counts(df, id_col, text, stop_words, size)[1]
 
 
 def tfidf(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], size: int = 5000) -> DataFrame:
     """Smoothed, L2-normalised weights ``tf * (ln((1 + n) / (1 + df)) + 1)`` per text and term."""
-    counts = term_counts(df, id_col, text, stop_words)
-    terms = vocabulary(counts, size).select("term", "df")
+    counts, terms = term_counts(df, id_col, text, stop_words, size)
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # The vocabulary is cut to `size` rows, which bounds both the broadcast and the window.
-    raw = counts.join(F.broadcast(terms), "term").withColumn("_n", n).withColumn(
+    # At most `size` terms, and so at most `size` rows per text in the window.
+    raw = counts.join(F.broadcast(terms.select("term", "df")), "term").withColumn("_n", n).withColumn(
         "_w", F.col("tf") * (F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", "tf", (F.col("_w") / norm).alias("weight"))
@@ -113,10 +127,8 @@ def lexicon_sentiment(df: DataFrame, id_col: str, text: str, lexicon: DataFrame,
     A word's valence is raised by a booster and turned by a negation among the three words before
     it; up to four exclamation marks add emphasis. One partial row per text leaves each task.
     """
-    tokens = F.filter(
-        F.transform(F.split(F.lower(text), r"(?U)\s+"),
-                    lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")),
-        lambda t: t != "")
+    # From the first to the last word character between white space.
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_](?:\S*[\p{L}\p{N}_])?"), F.lit(0))
     marks = F.least(F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit(""))), F.lit(4))
     with_neighbours = F.transform("_t", lambda t, i: F.struct(
         t.alias("token"), *[F.get("_t", i - d).alias(f"b{d}") for d in (1, 2, 3)]))

@@ -522,7 +522,7 @@ def tfidf_weights(spark, sf):
 
 @query()
 def tfidf_vocabulary(spark, sf):
-    return text.vocabulary(text.term_counts(views.table(spark, sf, "documents"), "doc_id", "text", STOP_WORDS))
+    return text.vocabulary(views.table(spark, sf, "documents"), "doc_id", "text", STOP_WORDS)
 
 
 @query()
