@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import count_true
@@ -196,7 +197,15 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
 
 # ---------------------------------------------------------------- exact n-tiles
 
-def rank_cuts(df: DataFrame, score: str, tie: str, parts: int = 10) -> list[tuple[int, float, int | None]]:
+Cut = tuple[int, float, int | float | str | None]
+
+
+def _tie_order(tie: Column, is_number: bool) -> Column:
+    # Text has no value ranges: it is ordered by its hash, then by itself.
+    return tie if is_number else F.xxhash64(tie)
+
+
+def rank_cuts(df: DataFrame, score: str, tie: str, parts: int = 10) -> list[Cut]:
     """First row of each part but part 0, in the order score descending, tie-break ascending.
 
     Part k starts at row ``ceil(k * n / parts)``. At most ``parts - 1`` rows reach the driver. The
@@ -220,15 +229,17 @@ def rank_cuts(df: DataFrame, score: str, tie: str, parts: int = 10) -> list[tupl
     return [(r["k"], r["_s"], tie_at.get(r["k"])) for r in found]
 
 
-def _tie_positions(rows: DataFrame, cuts: list[tuple[int, float, int]]) -> dict[int, int]:
+def _tie_positions(rows: DataFrame, cuts: list[tuple[int, float, int]]) -> dict[int, int | float | str]:
     """For each (part, score, position): the tie-break at that position among equal scores."""
     spark = rows.sparkSession
     scores = sorted({s for _, s, _ in cuts})
     tied = rows.where(F.col("_s").isin(*scores))
-    edges = tied.groupBy("_s").agg(_even_cuts("_t", BUCKETS).alias("_e"))
+    is_number = isinstance(rows.schema["_t"].dataType, T.NumericType)
+    tied = tied.withColumn("_h", _tie_order(F.col("_t"), is_number))
+    edges = tied.groupBy("_s").agg(_even_cuts("_h", BUCKETS).alias("_e"))
     # One row per boundary score: at most parts - 1 rows.
     ranged = tied.join(F.broadcast(edges), "_s").select(
-        "_s", "_t", range_bucket(F.col("_t"), F.col("_e")).alias("_b"))
+        "_s", "_t", "_h", range_bucket(F.col("_h"), F.col("_e")).alias("_b"))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
@@ -238,7 +249,7 @@ def _tie_positions(rows: DataFrame, cuts: list[tuple[int, float, int]]) -> dict[
         .where((F.col("_pos") >= F.col("_start")) & (F.col("_pos") < F.col("_start") + F.col("_cnt")))
         .select("_k", "_s", "_b", (F.col("_pos") - F.col("_start")).alias("_in"))
     )
-    at = F.row_number().over(Window.partitionBy("_k").orderBy("_t"))
+    at = F.row_number().over(Window.partitionBy("_k").orderBy("_h", "_t"))
     picked = (
         ranged.join(F.broadcast(hit), ["_s", "_b"]).withColumn("_at", at)
         .where(F.col("_at") == F.col("_in") + 1).select("_k", "_t")
@@ -246,10 +257,16 @@ def _tie_positions(rows: DataFrame, cuts: list[tuple[int, float, int]]) -> dict[
     return {r["_k"]: r["_t"] for r in picked.collect()}
 
 
-def rank_part(score: Column, tie: Column, cuts: Sequence[tuple[int, float, int | None]]) -> Column:
+def rank_part(score: Column, tie: Column, cuts: Sequence[Cut]) -> Column:
     """Part number of a row, from the boundary rows."""
     past = []
     for _, s, t in cuts:
-        at_cut = (score == s) if t is None else ((score == s) & (tie >= t))
+        if t is None:
+            at_cut = score == s
+        elif isinstance(t, str):
+            behind = F.struct(F.xxhash64(tie), tie) >= F.struct(F.xxhash64(F.lit(t)), F.lit(t))
+            at_cut = (score == s) & behind
+        else:
+            at_cut = (score == s) & (tie >= t)
         past.append((score < s) | at_cut)
     return count_true(past) if past else F.lit(0)

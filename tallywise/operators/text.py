@@ -19,6 +19,9 @@ BOOST_DAMPING = (1.0, 0.95, 0.9)
 EXCLAMATION = 0.292
 NORMALISER = 15.0
 
+# A lexicon up to this size is matched inside the text row; a larger one by the join alone.
+LEXICON_LIMIT = 20_000
+
 
 def clean_tokens(df: DataFrame, text: str, stop_words: Sequence[str], name: str = "tokens") -> DataFrame:
     """Lower-case words without punctuation and stop words; negations are the caller's to keep."""
@@ -80,8 +83,10 @@ def jaccard_mean(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def _terms(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str]) -> DataFrame:
     """Each one- and two-word term of each text, stop words dropped first."""
-    grams = one_and_two_grams(drop_stop_words(term_tokens(F.col(text)), stop_words))
-    return df.select(id_col, F.explode(grams).alias("term"))
+    tokens = drop_stop_words(term_tokens(F.col(text)), stop_words)
+    grams = df.select(id_col, tokens.alias("_t")).select(id_col, one_and_two_grams(F.col("_t")).alias("_g"))
+    # The outer form: the inner one would build the array again to test that it is not empty.
+    return grams.select(id_col, F.explode_outer("_g").alias("term")).where(F.col("term").isNotNull())
 
 
 def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str],
@@ -130,11 +135,17 @@ def lexicon_sentiment(df: DataFrame, id_col: str, text: str, lexicon: DataFrame,
     # From the first to the last word character between white space.
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_](?:\S*[\p{L}\p{N}_])?"), F.lit(0))
     marks = F.least(F.length(text) - F.length(F.replace(F.col(text), F.lit("!"), F.lit(""))), F.lit(4))
-    with_neighbours = F.transform("_t", lambda t, i: F.struct(
-        t.alias("token"), *[F.get("_t", i - d).alias(f"b{d}") for d in (1, 2, 3)]))
+    # Only words of the lexicon become rows, each with the three words before it.
+    known = [r["token"] for r in lexicon.select("token").limit(LEXICON_LIMIT + 1).collect()]
+    places = F.sequence(F.lit(0), F.size("_t") - 1)
+    if len(known) <= LEXICON_LIMIT:
+        places = F.filter(places, lambda i: F.get("_t", i).isin(*known))
+    hits = F.when(F.size("_t") > 0, F.transform(places, lambda i: F.struct(
+        F.get("_t", i).alias("token"), *[F.get("_t", i - d).alias(f"b{d}") for d in (1, 2, 3)])))
     flat = (
         df.select(id_col, tokens.alias("_t"), (marks * EXCLAMATION).alias("_emph"))
-        .select(id_col, "_emph", F.size("_t").alias("_len"), F.explode_outer(with_neighbours).alias("s"))
+        .select(id_col, "_emph", F.size("_t").alias("_len"), hits.alias("_h"))
+        .select(id_col, "_emph", "_len", F.explode_outer("_h").alias("s"))
         .select(id_col, "_emph", "_len", "s.*")
     )
     hit = flat.join(lexicon.select("token", "valence"), "token", "left")

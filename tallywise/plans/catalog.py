@@ -479,15 +479,15 @@ def credit_risk_importance(spark, sf):
 
 @query()
 def tokens_clean(spark, sf):
-    out = text.clean_tokens(views.table(spark, sf, "documents"), "text", STOP_WORDS)
+    out = text.clean_tokens(views.documents(spark, sf), "text", STOP_WORDS)
     return out.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query()
 def lemma_lookup(spark, sf):
-    tokens = text.clean_tokens(views.table(spark, sf, "documents"), "text", STOP_WORDS)
+    tokens = text.clean_tokens(views.documents(spark, sf), "text", STOP_WORDS)
     # A lemma table from the texts themselves: a final "s" falls off longer words.
-    lookup = tokens.select(F.explode("tokens").alias("token")).distinct().where(
+    lookup = tokens.select(F.explode_outer("tokens").alias("token")).distinct().where(
         F.col("token").endswith("s") & (F.length("token") > 4)
     ).select("token", F.expr("substring(token, 1, length(token) - 1)").alias("lemma"))
     out = text.lemmatize(tokens, "doc_id", "tokens", lookup)
@@ -517,17 +517,17 @@ def label_counts(spark, sf):
 
 @query()
 def tfidf_weights(spark, sf):
-    return text.tfidf(views.table(spark, sf, "documents"), "doc_id", "text", STOP_WORDS)
+    return text.tfidf(views.documents(spark, sf), "doc_id", "text", STOP_WORDS)
 
 
 @query()
 def tfidf_vocabulary(spark, sf):
-    return text.vocabulary(views.table(spark, sf, "documents"), "doc_id", "text", STOP_WORDS)
+    return text.vocabulary(views.documents(spark, sf), "doc_id", "text", STOP_WORDS)
 
 
 @query()
 def jaccard_mean(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.documents(spark, sf)
     guessed = F.when(F.col("n_chars") > 1000, F.col("lang")).otherwise(F.lit("en"))
     pairs = docs.select(F.array("lang", "source").alias("actual"), F.array(guessed, F.lit("src1")).alias("predicted"))
     return text.jaccard_mean(pairs, "actual", "predicted")
@@ -581,7 +581,7 @@ def model_sentiment(spark, sf):
 
 @query()
 def tag_predictions(spark, sf):
-    return studies.tag_study(views.table(spark, sf, "documents").select("doc_id", "text", F.array("lang").alias("tags")),
+    return studies.tag_study(views.documents(spark, sf).select("doc_id", "text", F.array("lang").alias("tags")),
                              "doc_id", "text", "tags", STOP_WORDS)
 
 

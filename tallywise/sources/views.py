@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out to all cores before costly work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 _FROM_ORDERS = {"cardholder", "description", "ym", "txn_ts", "agency_number", "agency_name"}
 _FROM_CUSTOMER = {"agency_number", "agency_name"}
 
@@ -93,14 +103,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with a rating of 1 to 5."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), (F.col("doc_id") % 5 + 1).cast("int").alias("score"), "text")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with their tags as a list literal, as a file would hold them."""
     tags = F.concat(F.lit("['"), "lang", F.lit("','"), "source", F.lit("']"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", tags.alias("tags"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", tags.alias("tags"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
