@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import exact_mean, half_even
 from tallywise.operators.ordered import exact_quantiles, quantiles_of_counts, value_counts
+from tallywise.session import cut_lineage
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
@@ -82,7 +83,8 @@ def boxplot(df: DataFrame, key: str, value: str) -> DataFrame:
     counts = value_counts(df, [key], value)
     q = quantiles_of_counts(counts, [key], [0.25, 0.5, 0.75]).select(
         key, *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
-    bounds = (
+    # Stored, so that its measured size chooses the join.
+    bounds = cut_lineage(
         q.withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr"))
         .withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr"))

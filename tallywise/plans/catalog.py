@@ -698,7 +698,12 @@ def stream_refunds(spark, sf):
 
 @query()
 def stream_gap(spark, sf):
-    return monitors.run_to_table(monitors.stream_gaps(_events(spark, sf), "user_id", "event_id"), "gaps")
+    return monitors.gaps_by_batch(_events(spark, sf), "user_id", "event_id")
+
+
+@query()
+def stream_gap_state(spark, sf):
+    return monitors.run_to_table(monitors.stream_gaps(_events(spark, sf), "user_id", "event_id"), "gap-state")
 
 
 @query()

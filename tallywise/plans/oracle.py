@@ -496,5 +496,6 @@ WHERE window_start + INTERVAL 1 DAY <= w"""
   coalesce(sum(value) FILTER (event_type = 'error'), 0)::DOUBLE AS a, sum(value)::DOUBLE AS t FROM closed GROUP BY 1, 2)
 SELECT user_id, window_start, txns, refunds, {rnd('refunds::DOUBLE / txns', 'refund_txn_ratio')}, {rnd('a / nullif(t, 0)', 'refund_amt_ratio')} FROM r"""
     q["stream_gap"] = f"SELECT user_id, event_id, {days('ts', 'lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS days_since_last, false AS late FROM events"
+    q["stream_gap_state"] = q["stream_gap"]
     q["stream_distinct"] = "SELECT event_id, user_id FROM events"
     return q

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallywise.functions.scalars import safe_flag
+from tallywise.functions.scalars import safe_flag, whole_days
+from tallywise.operators.ordered import split_lag
 from tallywise.session import scratch_path
 
 # Windows count from Thursday 1970-01-01; weeks here start on Monday.
@@ -70,11 +71,49 @@ def stream_refunds(stream: DataFrame, entity: str, is_refund: Column, amount: Co
     )
 
 
+def gaps_by_batch(stream: DataFrame, entity: str, event_id: str, ts: str = "ts", name: str = "gaps") -> DataFrame:
+    """Whole days since the entity's last event, over all data there is now.
+
+    Each micro-batch is ordered like a table, so an entity with most of its rows is split over
+    tasks. The last event per entity is a table in the shared folder, one version per batch; a
+    batch that is run again overwrites its own version and its own output. A row older than the
+    table is late: it is passed on with ``late`` set and no gap.
+    """
+    spark = stream.sparkSession
+    root = scratch_path(spark, name)
+    last_schema = stream.select(entity, F.col(ts).alias("_last")).schema
+    out_schema = stream.select(
+        entity, event_id, F.lit(0).cast("bigint").alias("days_since_last"), F.lit(False).alias("late")).schema
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        if epoch == 0:
+            known = session.createDataFrame([], last_schema)
+        else:
+            known = session.read.schema(last_schema).parquet(f"{root}/last/{epoch - 1}")
+        rows = batch.select(entity, event_id, ts).join(known, entity, "left")
+        is_late = safe_flag(F.col(ts) < F.col("_last"))
+        lagged = split_lag(rows.where(~is_late), [entity], [ts, event_id], F.to_date(ts), ts, "_before")
+        gap = whole_days(F.col(ts), F.coalesce("_before", "_last"))
+        fresh = lagged.select(entity, event_id, gap.alias("days_since_last"), F.lit(False).alias("late"))
+        late = rows.where(is_late).select(
+            entity, event_id, F.lit(None).cast("bigint").alias("days_since_last"), F.lit(True).alias("late"))
+        fresh.unionByName(late).write.mode("overwrite").parquet(f"{root}/out/epoch={epoch}")
+        newest = batch.groupBy(entity).agg(F.max(ts).alias("_last"))
+        known.unionByName(newest).groupBy(entity).agg(F.max("_last").alias("_last")).write.mode(
+            "overwrite").parquet(f"{root}/last/{epoch}")
+
+    run_each_batch(stream, step, name, "append")
+    return spark.read.schema(out_schema).parquet(f"{root}/out").select(*out_schema.names)
+
+
 def stream_gaps(stream: DataFrame, entity: str, event_id: str, ts: str = "ts", idle: str = "400 days") -> DataFrame:
     """Whole days since the entity's last event, by one small state per entity.
 
     A row older than the state is late: it is passed on with ``late`` set and no gap. State of an
-    entity that stays silent for ``idle`` beyond the watermark is dropped.
+    entity that stays silent for ``idle`` beyond the watermark is dropped. The rows one entity has
+    in one micro-batch are ordered in one task: bound them by ``files_per_trigger``, or use
+    ``gaps_by_batch``.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 

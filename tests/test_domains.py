@@ -252,7 +252,8 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     assert got == closed
 
 
-def test_stream_gaps_mark_late_rows(spark, tmp_path):
+@pytest.mark.parametrize("by_batch", [True, False])
+def test_stream_gaps_mark_late_rows(spark, tmp_path, by_batch):
     day = dt.datetime(2024, 1, 1)
     schema = "event_id long, ts timestamp, user_id long"
     first = [(1, day, 7), (3, day + dt.timedelta(days=3), 7)]
@@ -262,6 +263,9 @@ def test_stream_gaps_mark_late_rows(spark, tmp_path):
     files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime)
     assert len(files) == 2
     stream = monitors.read_event_stream(spark, str(tmp_path / "in"), schema, "*.parquet", files_per_trigger=1)
-    got = {r["event_id"]: (r["days_since_last"], r["late"]) for r in
-           monitors.run_to_table(monitors.stream_gaps(stream, "user_id", "event_id"), "g").collect()}
+    if by_batch:
+        out = monitors.gaps_by_batch(stream, "user_id", "event_id")
+    else:
+        out = monitors.run_to_table(monitors.stream_gaps(stream, "user_id", "event_id"), "g")
+    got = {r["event_id"]: (r["days_since_last"], r["late"]) for r in out.collect()}
     assert got == {1: (None, False), 3: (3, False), 2: (None, True), 4: (2, False)}
