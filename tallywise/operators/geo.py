@@ -54,6 +54,7 @@ def tag_points(points: DataFrame, polygons: DataFrame, point_id: str, x: str = "
 
     Points meet polygons by an equi-join on grid cells of ``cell`` degrees that the polygon's box
     covers: a crowded cell can be split over tasks, and no point is compared with a far polygon.
+    ``ord`` is unique per polygon.
     """
     size = F.lit(cell)
     grid = lambda c: F.floor(c / size)
@@ -66,5 +67,7 @@ def tag_points(points: DataFrame, polygons: DataFrame, point_id: str, x: str = "
     pairs = located.join(covering, ["_cx", "_cy"], "left")
     px, py = F.col("_x"), F.col("_y")
     near = px.between(F.col("min_x"), F.col("max_x")) & py.between(F.col("min_y"), F.col("max_y"))
-    hit = F.when(near, F.when(strictly_inside(px, py, F.col("edges")), F.struct("ord", "name")))
-    return pairs.groupBy(point_id).agg(F.coalesce(F.max(hit)["name"], F.lit("")).alias(name))
+    hit = F.when(near, F.when(strictly_inside(px, py, F.col("edges")), F.col("ord")))
+    last = pairs.groupBy(point_id).agg(F.max(hit).alias("ord"))
+    named = last.join(polygons.select("ord", F.col("name").alias("_name")), "ord", "left")
+    return named.select(point_id, F.coalesce("_name", F.lit("")).alias(name))

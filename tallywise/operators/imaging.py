@@ -26,10 +26,14 @@ def mean_color(pixels: DataFrame) -> DataFrame:
 
 def mode_color(pixels: DataFrame) -> DataFrame:
     """Most frequent colour per image, ties to the smallest (r, g, b); its count and all pixels."""
-    best = F.max(F.struct("n", *[(-F.col(c)).alias(c) for c in RGB]))
-    return color_counts(pixels).groupBy("image_id").agg(
-        best.alias("m"), F.sum("n").alias("n_pixels"),
-    ).select("image_id", *[(-F.col(f"m.{c}")).alias(c) for c in RGB], F.col("m.n").alias("n"), "n_pixels")
+    packed = F.col("r").cast("bigint") * 65536 + F.col("g") * 256 + F.col("b")
+    # Count first, smallest colour next, in one whole number: it stays in a hash table.
+    best = F.max(F.col("n") * (1 << 24) + ((1 << 24) - 1 - packed))
+    top = color_counts(pixels).groupBy("image_id").agg(best.alias("m"), F.sum("n").alias("n_pixels"))
+    color = F.lit((1 << 24) - 1) - F.pmod(F.col("m"), F.lit(1 << 24))
+    return top.select(
+        "image_id", *[F.pmod(F.shiftright(color, bits), F.lit(256)).cast("int").alias(c) for c, bits in zip(RGB, (16, 8, 0))],
+        F.shiftright("m", 24).alias("n"), "n_pixels")
 
 
 def _assign(colors: DataFrame, centers: DataFrame, k: int) -> DataFrame:

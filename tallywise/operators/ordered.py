@@ -178,12 +178,18 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
     spread = _not_null(df, [*keys, order[0]]).withColumn("_b", bucket)
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     buckets = Window.partitionBy(*keys).orderBy("_b")
-    newest = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v")))
+    # Flat values, where they do, keep the aggregate in a hash table; a struct would be sorted.
+    if value == order[0]:
+        newest = F.max(value)
+    elif len(order) == 1:
+        newest = F.max_by(value, order[0])
+    else:
+        newest = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).alias("v")))["v"]
     # One row per entity and bucket leaves the map side.
     ends = (
         spread.groupBy(*keys, "_b").agg(newest.alias("_end"), F.count(F.lit(1)).alias("_cnt"))
         .select(
-            *keys, "_b", F.lag("_end.v").over(buckets).alias("_carry"),
+            *keys, "_b", F.lag("_end").over(buckets).alias("_carry"),
             F.coalesce(F.sum("_cnt").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         )
     )

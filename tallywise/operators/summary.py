@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallywise.functions.scalars import exact_mean, half_even
+from tallywise.functions.scalars import exact_mean, half_even, safe_flag
 from tallywise.operators.ordered import exact_quantiles, quantiles_of_counts, value_counts
 from tallywise.session import cut_lineage
 
@@ -150,20 +150,29 @@ def conditional_totals(df: DataFrame, keys: Sequence[str], amount: str = "amount
     )
 
 
-def flagged_share(df: DataFrame, keys: Sequence[str], flagged: DataFrame) -> DataFrame:
-    """Distinct keys, distinct flagged keys, and the flagged ones in per cent.
+def flagged_shares(df: DataFrame, keys: Sequence[str], rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Per rule: distinct keys of ``df``, distinct keys with a row that meets the rule, and the share in per cent.
 
-    A NULL key counts as one key. Each side is reduced to distinct keys before it meets the other.
+    A NULL key counts as one key. Both inputs are read once and leave the map side one row per key.
     """
     keys = list(keys)
-    both = df.select(*keys, F.lit(0).alias("_f")).unionByName(flagged.select(*keys, F.lit(1).alias("_f")))
-    per_key = both.groupBy(*keys).agg(F.min("_f").alias("_all"), F.max("_f").alias("_hit"))
-    return per_key.agg(
-        F.count_if(F.col("_all") == 0).alias("n_total"), F.count_if(F.col("_hit") == 1).alias("n_flagged"),
-    ).withColumn(
+    flags = [f"_f{i}" for i in range(len(rules))]
+    everyone = df.select(*keys, F.lit(1).alias("_in"), *[F.lit(0).alias(f) for f in flags])
+    hits = rows.select(
+        *keys, F.lit(0).alias("_in"), *[safe_flag(c).cast("int").alias(f) for f, c in zip(flags, rules.values())])
+    per_key = everyone.unionByName(hits).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("_in", *flags)])
+    sums = per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_in", *flags)])
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f).alias("n_flagged")) for f, r in zip(flags, rules)])
+    return sums.select(F.col("_in").alias("n_total"), F.explode(pairs).alias("p")).select(
+        "n_total", "p.n_flagged", "p.rule").withColumn(
         "pct_flagged", F.try_divide(F.col("n_flagged").cast("double"), F.col("n_total").cast("double")) * 100)
 
 
+def flagged_share(df: DataFrame, keys: Sequence[str], flagged: DataFrame) -> DataFrame:
+    """Distinct keys, distinct keys among the flagged rows, and their share in per cent."""
+    return flagged_shares(df, keys, flagged, {"flagged": F.lit(True)}).drop("rule")
+
+
 def class_share(df: DataFrame, label: str) -> DataFrame:
     """Rows per class and their share in per cent, rounded half-even to 2 places."""
     counts = row_counts(df, [label], "counts")

@@ -271,12 +271,8 @@ def vendor_mom_beyond(spark, sf):
 def flagged_share(spark, sf):
     base = _amounts(spark, sf, "cardholder", "ym")
     changes = anomaly.period_change(base, ["cardholder"])
-    parts = [
-        summary.flagged_share(base, ["cardholder"], changes.where(F.col("pct_change") > limit))
-        .withColumn("rule", F.lit(f"over_{limit}"))
-        for limit in (1000, 5000)
-    ]
-    return parts[0].unionByName(parts[1])
+    rules = {f"over_{limit}": F.col("pct_change") > limit for limit in (1000, 5000)}
+    return summary.flagged_shares(base, ["cardholder"], changes, rules)
 
 
 @query(3)

@@ -59,13 +59,11 @@ def posting_lag(txn: DataFrame, min_days: int = 100) -> dict[str, DataFrame]:
 
 def month_on_month(txn: DataFrame, entity: Sequence[str], limits: Sequence[float] = (1000.0, 5000.0)) -> dict[str, DataFrame]:
     changes = anomaly.period_change(txn, entity)
-    shares = {
-        f"share_over_{limit:g}": summary.flagged_share(txn, entity, changes.where(F.col("pct_change") > limit))
-        for limit in limits
-    }
+    rules = {f"over_{limit:g}": F.col("pct_change") > limit for limit in limits}
     return {
         "changes": changes, "description": summary.describe(changes, "pct_change"),
-        "extremes": anomaly.extreme_history(changes, entity), **shares,
+        "extremes": anomaly.extreme_history(changes, entity),
+        "shares": summary.flagged_shares(txn, entity, changes, rules),
     }
 
 
