@@ -153,7 +153,10 @@ def period_change(df: DataFrame, entity: Sequence[str], period: str = "ym", amou
 
 def extreme_history(changes: DataFrame, entity: Sequence[str], n: int = 2, low: float = -100.0,
                     high: float = 1000.0, period: str = "ym") -> DataFrame:
-    """All periods of the entities with the ``n`` lowest and the ``n`` highest changes."""
+    """All periods of the entities with the ``n`` lowest and the ``n`` highest changes.
+
+    ``changes`` is read four times: store it first.
+    """
     ties = [*entity, period]
 
     def side(rows: DataFrame, order, label: str) -> DataFrame:
@@ -166,7 +169,10 @@ def extreme_history(changes: DataFrame, entity: Sequence[str], n: int = 2, low:
 
 
 def without_extreme(changes: DataFrame, entity: Sequence[str], limit: float = 1_000_000.0) -> DataFrame:
-    """Leave out every entity that has a change beyond the limit on either side."""
+    """Leave out every entity that has a change beyond the limit on either side.
+
+    ``changes`` is read twice: store it first.
+    """
     beyond = changes.where((F.col("pct_change") < -limit) | (F.col("pct_change") > limit)).select(*entity)
     return changes.join(beyond, list(entity), "left_anti")
 

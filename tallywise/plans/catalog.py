@@ -254,12 +254,12 @@ def describe_mom(spark, sf):
 
 @query(4)
 def mom_extreme_history(spark, sf):
-    return anomaly.extreme_history(_changes(spark, sf, "cardholder"), ["cardholder"])
+    return anomaly.extreme_history(cut_lineage(_changes(spark, sf, "cardholder")), ["cardholder"])
 
 
 @query(4)
 def vendor_mom_trimmed(spark, sf):
-    return anomaly.without_extreme(_changes(spark, sf, "vendor"), ["vendor"], limit=20_000)
+    return anomaly.without_extreme(cut_lineage(_changes(spark, sf, "vendor")), ["vendor"], limit=20_000)
 
 
 @query(4)

@@ -59,6 +59,8 @@ def posting_lag(txn: DataFrame, min_days: int = 100) -> dict[str, DataFrame]:
 
 def month_on_month(txn: DataFrame, entity: Sequence[str], limits: Sequence[float] = (1000.0, 5000.0)) -> dict[str, DataFrame]:
     changes = anomaly.period_change(txn, entity)
+    # One row per entity and month, read by all that follows.
+    changes = cut_lineage(changes)
     rules = {f"over_{limit:g}": F.col("pct_change") > limit for limit in limits}
     return {
         "changes": changes, "description": summary.describe(changes, "pct_change"),
@@ -70,7 +72,7 @@ def month_on_month(txn: DataFrame, entity: Sequence[str], limits: Sequence[float
 def vendor_month_on_month(txn: DataFrame, entity: Sequence[str] = ("vendor",), extreme: float = 1_000_000.0,
                           limit: float = 200_000.0) -> dict[str, DataFrame]:
     """Changes without the entities of extreme ones, and who is still beyond the limit."""
-    changes = anomaly.period_change(txn, list(entity))
+    changes = cut_lineage(anomaly.period_change(txn, list(entity)))
     kept = anomaly.without_extreme(changes, list(entity), extreme)
     beyond = anomaly.beyond_change(kept, limit)
     return {
@@ -81,20 +83,20 @@ def vendor_month_on_month(txn: DataFrame, entity: Sequence[str] = ("vendor",), e
 
 
 def vendor_spike(txn: DataFrame) -> dict[str, DataFrame]:
-    rows = anomaly.monthly_spike(txn)
+    rows = cut_lineage(anomaly.monthly_spike(txn))
     hits = rows.where("anomaly")
     return {"rows": rows, "share": summary.flagged_share(txn, ["vendor"], hits)}
 
 
 def refunds(txn: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
-    patterns = anomaly.refund_patterns(txn, keys)
+    patterns = cut_lineage(anomaly.refund_patterns(txn, keys))
     return {"patterns": patterns, "anomalies": anomaly.refund_anomalies(patterns, keys, n=20)}
 
 
 def velocities(txn: DataFrame, entity: Sequence[str]) -> dict[str, DataFrame]:
     out = {}
     for period in ("day", "week"):
-        rows = anomaly.velocity(txn, entity, period=period)
+        rows = cut_lineage(anomaly.velocity(txn, entity, period=period))
         out[period] = rows
         out[f"{period}_share"] = summary.flagged_share(txn, entity, rows.where("anomaly"))
     return out
