@@ -329,7 +329,8 @@ def velocity_week_vendor(spark, sf):
 
 @query()
 def velocity_hour_user(spark, sf):
-    return anomaly.velocity(views.table(spark, sf, "events"), ["user_id"], ts="ts", period="hour")
+    hourly = anomaly.velocity(views.table(spark, sf, "events"), ["user_id"], ts="ts", period="hour")
+    return hourly.withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
 @query()

@@ -269,3 +269,15 @@ def test_stream_gaps_mark_late_rows(spark, tmp_path, by_batch):
         out = monitors.run_to_table(monitors.stream_gaps(stream, "user_id", "event_id"), "g")
     got = {r["event_id"]: (r["days_since_last"], r["late"]) for r in out.collect()}
     assert got == {1: (None, False), 3: (3, False), 2: (None, True), 4: (2, False)}
+
+
+def test_worker_functions_travel_by_value(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = cloudpickle.dumps(detection._suppress)
+    done = subprocess.run([sys.executable, "-c", "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"],
+                          input=blob, cwd=tmp_path, capture_output=True, timeout=60)
+    assert done.returncode == 0, done.stderr
