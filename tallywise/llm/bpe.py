@@ -44,7 +44,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         words = split_words(batch.column("text"), lower=False)
         return batch.column("doc_id").to_pylist(), words.codes, words.starts, words.vocab.to_pylist(), words.hashes()
 
-    def messages(payload):
+    def messages(payload, _):
         vocab, hashes = payload[3:]
         order, where = _order(hashes, buckets)
         return where, [[vocab[i] for i in order]]
@@ -68,8 +68,9 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     table = pieces_table(tokenizer)
 
-    def use(payload, got: list) -> Iterator[pa.Table]:
+    def use(payload, answers: dict) -> Iterator[pa.Table]:
         doc_ids, codes, starts, vocab, hashes = payload
+        got = answers.get(0)
         order, _ = _order(hashes, buckets)
         sizes, first = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
         flat = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int32)
@@ -77,7 +78,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         first[order] = np.cumsum(sizes[order]) - sizes[order]
         # The join of ids with the id-to-piece table, for each distinct word.
         text = [" ".join([table[i] for i in flat[a:a + n]]) for a, n in zip(first.tolist(), sizes.tolist())]
-        for part in pieces(np.diff(starts), WORDS_PER_BATCH):
+        for part in pieces(1 + np.diff(starts), WORDS_PER_BATCH):
             low, high = starts[part.start], starts[part.stop]
             own = codes[low:high]
             n = sizes[own]

@@ -111,52 +111,89 @@ def ask_buckets(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ask(chunks: DataFrame, messages: Callable[[object], tuple[np.ndarray, list]], buckets: int) -> DataFrame:
+def ask(chunks: DataFrame, messages: Callable[[object, dict], tuple[np.ndarray, list]], buckets: int,
+        answers: DataFrame | None = None) -> DataFrame:
     """Rows ``(bucket, chunk, message)``: what each chunk sends to the buckets.
 
-    ``messages(payload)`` gives each key's bucket in ascending order and the columns (arrays, or lists) that
-    go with the keys. A chunk sends a key once at most, so a bucket holds one entry for each chunk and key
-    however often the key occurs: a key that a third of all rows share is as light as any other.
+    ``messages(payload, earlier answers)`` gives each key's bucket in ascending order and the columns (arrays,
+    or lists) that go with the keys. A chunk sends a key once at most, so a bucket holds one entry for each
+    chunk and key however often the key occurs: a key that a third of all rows share is as light as any other.
     """
+    def sent(chunk: int, payload: bytes, got: dict) -> pa.Table:
+        where, columns = messages(unpack(payload), got)
+        used, first = np.unique(where, return_index=True)
+        ends = np.append(first[1:], len(where))
+        return pa.table({
+            "bucket": pa.array(used.astype(np.int64)), "chunk": pa.array([chunk] * len(used), pa.int64()),
+            "message": pa.array([pack([c[i:j] for c in columns]) for i, j in zip(first, ends)], pa.binary())})
+
+    schema = "bucket long, chunk long, message binary"
+    if answers is not None:
+        return _cogroup(chunks, answers, lambda chunk, payload, got: sent(chunk, payload, got), schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                where, columns = messages(unpack(payload.as_buffer()))
-                used, first = np.unique(where, return_index=True)
-                ends = np.append(first[1:], len(where))
-                for at in range(0, len(used), 256):
-                    part = range(at, min(at + 256, len(used)))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(used[at:at + 256].astype(np.int64)),
-                        pa.array([chunk] * len(part), pa.int64()),
-                        pa.array([pack([c[first[i]:ends[i]] for c in columns]) for i in part], pa.binary()),
-                    ], ["bucket", "chunk", "message"])
-
-    return chunks.mapInArrow(run, "bucket long, chunk long, message binary")
-
-
-def answer(asked: DataFrame, reply: Callable[[list], list]) -> DataFrame:
-    """Rows ``(chunk, bucket, message)``: ``reply`` gets a bucket's messages and gives an answer to each."""
+            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
+                yield from sent(chunk, payload.as_buffer(), {}).to_batches(max_chunksize=256)
+
+    return chunks.mapInArrow(run, schema)
+
+
+def answer(asked: DataFrame, reply: Callable[[list], list], level: int = 0) -> DataFrame:
+    """Rows ``(chunk, level, bucket, message)``: ``reply`` gets a bucket's messages and answers each of them."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         answers = reply([unpack(m.as_buffer()) for m in table.column("message")])
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
+        return pa.table({"chunk": table.column("chunk"), "level": pa.array([level] * table.num_rows, pa.int32()),
+                         "bucket": table.column("bucket"),
                          "message": pa.array([pack(a) for a in answers], pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, message binary")
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, level int, bucket long, message binary")
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable[[object, list], Iterator[pa.Table]],
+def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable[[object, dict], Iterator[pa.Table]],
                  schema: str) -> DataFrame:
-    """``use(payload, answers in order of their buckets)`` for each chunk, in pieces."""
+    """``use(payload, {level: answers in order of their buckets})`` for each chunk, in pieces."""
+    return _cogroup(chunks, answers, lambda chunk, payload, got: pa.concat_tables(use(unpack(payload), got)), schema)
+
+
+def _cogroup(chunks: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("bucket")
-        got = [unpack(m.as_buffer()) for m in right.column("message")]
-        return pa.concat_tables(t for p in left.column("payload") for t in use(unpack(p.as_buffer()), got))
+        got: dict[int, list] = {}
+        for level, m in zip(right.sort_by("bucket").column("level").to_pylist(),
+                            right.sort_by("bucket").column("message")):
+            got.setdefault(level, []).append(unpack(m.as_buffer()))
+        (row,) = zip(left.column("chunk").to_pylist(), left.column("payload"))
+        return fn(row[0], row[1].as_buffer(), got)
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
+def seen_elsewhere(asked: list) -> list:
+    """For each message's keys, one bit each: another message has the key too."""
+    keys = np.concatenate([np.cumsum(m[0]) for m in asked])
+    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = count[inverse] > 1
+    ends = np.cumsum([len(m[0]) for m in asked])
+    return [np.packbits(part) for part in np.split(shared, ends[:-1])]
+
+
+def key_message(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list]:
+    """Ascending distinct keys, sent as differences within their bucket."""
+    where = bucket_of(keys, buckets)
+    first = np.ones(len(keys), bool)
+    first[1:] = where[1:] != where[:-1]
+    return where, [np.where(first, keys, np.diff(keys, prepend=np.uint64(0)))]
+
+
+def read_bits(got: list, where: np.ndarray) -> np.ndarray:
+    """The answers of ``seen_elsewhere`` and the like, in the order of the keys."""
+    sizes = np.unique(where, return_counts=True)[1]
+    if not len(sizes):
+        return np.empty(0, bool)
+    return np.concatenate([np.unpackbits(g, count=n) for g, n in zip(got, sizes)]).astype(bool)
+
+
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + sizes[i] - 1`` one after the other."""
     ends = np.cumsum(sizes)

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe
+from tallywise.llm import bpe, substrings
 from tallywise.session import tune
 from tallywise.sources import views
 
@@ -37,3 +37,8 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
 @query
 def op3_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(views.table(spark, sf_dir, "documents"), tokenizer_json()))
+
+
+@query
+def op7_substrings(spark, sf_dir):
+    return substrings.digests(substrings.dedup(views.table(spark, sf_dir, "documents"), length=20))
