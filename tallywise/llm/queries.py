@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, substrings
+from tallywise.llm import bpe, substrings, toxicity
+from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
 
@@ -42,3 +43,18 @@ def op3_bpe(spark, sf_dir):
 @query
 def op7_substrings(spark, sf_dir):
     return substrings.digests(substrings.dedup(views.table(spark, sf_dir, "documents"), length=20))
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Labels of rows that are not held out teach the model."""
+    labels = views.table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    labels = labels.select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
