@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, substrings, toxicity
+from tallywise.llm import bpe, decontaminate, substrings, toxicity
 from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
@@ -58,3 +58,9 @@ def op10_toxicity(spark, sf_dir):
     scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.digests(decontaminate.contamination(
+        views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20))
