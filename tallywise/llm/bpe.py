@@ -14,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import (ask, ask_buckets, answer, bucket_of, make_chunks, pieces, ragged, split_words,
-                                  with_answers)
+from tallywise.llm.common import (Words, answer, ask, ask_buckets, bucket_of, make_chunks, pieces, ragged,
+                                  split_words, with_answers)
 
 #: Words sent out by one Arrow batch, which bounds what the JVM holds at once.
 WORDS_PER_BATCH = 200_000
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x
+
+
 def _order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     where = bucket_of(hashes, buckets)
     order = np.argsort(where, kind="stable")
@@ -41,13 +45,12 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     words_of = {}
 
     def build(batch: pa.RecordBatch):
-        words = split_words(batch.column("text"), lower=False)
-        return batch.column("doc_id").to_pylist(), words.codes, words.starts, words.vocab.to_pylist(), words.hashes()
+        return batch.column("doc_id").to_pylist(), split_words(batch.column("text"), lower=False).packed()
 
     def messages(payload, _):
-        vocab, hashes = payload[3:]
-        order, where = _order(hashes, buckets)
-        return where, [[vocab[i] for i in order]]
+        words = Words.unpacked(payload[1])
+        order, where = _order(words.hashes(), buckets)
+        return where, [words.vocab.take(pa.array(order)).to_pylist()]
 
     def reply(asked: list) -> list:
         from tokenizers import Tokenizer
@@ -63,17 +66,18 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         out = []
         for (words,) in asked:
             ids = [known[w] for w in words]
-            out.append((np.array([len(x) for x in ids], np.int32), np.concatenate(ids)))
+            out.append((_narrow(np.array([len(x) for x in ids], np.int32)), _narrow(np.concatenate(ids))))
         return out
 
     table = pieces_table(tokenizer)
 
     def use(payload, answers: dict) -> Iterator[pa.Table]:
-        doc_ids, codes, starts, vocab, hashes = payload
+        doc_ids, words = payload[0], Words.unpacked(payload[1])
+        codes, starts = words.codes, words.starts
         got = answers.get(0)
-        order, _ = _order(hashes, buckets)
-        sizes, first = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-        flat = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int32)
+        order, _ = _order(words.hashes(), buckets)
+        sizes, first = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        flat = np.concatenate([g[1] for g in got]).astype(np.int32) if got else np.empty(0, np.int32)
         sizes[order] = np.concatenate([g[0] for g in got]) if got else 0
         first[order] = np.cumsum(sizes[order]) - sizes[order]
         # The join of ids with the id-to-piece table, for each distinct word.

@@ -30,6 +30,24 @@ class Words:
         """A 64-bit hash for each entry of ``vocab``."""
         return np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocab.to_pylist()), np.uint64, len(self.vocab))
 
+    def packed(self) -> tuple:
+        """For ``pack``: frequent words have small codes, and the codes' bytes lie in planes, which press well."""
+        order = np.argsort(-np.bincount(self.codes, minlength=len(self.vocab)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        planes = rank[self.codes].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        vocab = self.vocab.take(pa.array(order)).cast(pa.large_binary())
+        sizes = pc.binary_length(vocab).to_numpy(zero_copy_only=False).astype(np.int32)
+        return planes, np.diff(self.starts).astype(np.int32), sizes, b"".join(vocab.to_pylist())
+
+    @classmethod
+    def unpacked(cls, parts: tuple) -> Words:
+        planes, counts, sizes, data = parts
+        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        vocab = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return cls(codes, np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), vocab)
+
 
 def split_words(text: pa.Array, lower: bool) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased if asked for; a null text has none."""
@@ -74,29 +92,32 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- chunks and packed look-ups
 
-def pack(value: object) -> bytes:
+def pack(value: object, level: int = 1) -> bytes:
     raw = pickle.dumps(value, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes) -> object:
     return pickle.loads(pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd"))
 
 
-def make_chunks(docs: DataFrame, build: Callable[[pa.RecordBatch], object]) -> DataFrame:
-    """One row for each Arrow batch of ``docs``, at most 10,000 rows or 64 MB: ``(chunk, payload)``.
+def make_chunks(docs: DataFrame, build: Callable[[pa.RecordBatch], object], most_bytes: int = 12 << 20) -> DataFrame:
+    """``(chunk, payload)``: a row for each run of rows in an Arrow batch of ``docs`` with ``most_bytes`` of text.
 
-    A chunk's number follows from its place in the input, so a task that runs again gives the same chunks.
+    A longer text is a chunk of its own. A chunk's number follows from its place in the input, so a task that
+    runs again gives the same chunks.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(batches):
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first + i], pa.int64()), pa.array([pack(build(batch))], pa.binary())],
-                    ["chunk", "payload"])
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            for part in pieces(64 + sizes.astype(np.int64), most_bytes):
+                payload = pack(build(batch.slice(part.start, part.stop - part.start)), 3)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())],
+                                                 ["chunk", "payload"])
+                number += 1
 
     return docs.mapInArrow(run, CHUNK_SCHEMA)
 

@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import (answer, ask, ask_buckets, bucket_of, key_message, make_chunks, pieces, read_bits,
-                                  seen_elsewhere, split_words, window_hashes, with_answers)
-from tallywise.llm.common import Words
+from tallywise.llm.common import (Words, answer, ask, ask_buckets, bucket_of, key_message, make_chunks, pieces,
+                                  read_bits, seen_elsewhere, split_words, window_hashes, with_answers)
 
 WORDS_PER_BATCH = 1_000_000
 NULL_ID = -2**63
@@ -41,9 +40,10 @@ class _Chunk:
     """The windows of a chunk; every step is worked out again from the words and the answers so far."""
 
     def __init__(self, payload, length: int, buckets: int):
-        self.doc_ids, self.codes, self.starts, self.vocab = payload
+        self.doc_ids, self.text = payload[0], Words.unpacked(payload[1])
+        self.codes, self.starts = self.text.codes, self.text.starts
         self.length, self.buckets = length, buckets
-        hashes = Words(self.codes, self.starts, pa.array(self.vocab, pa.string())).hashes()
+        hashes = self.text.hashes()
         words = hashes[self.codes] if len(self.codes) else np.empty(0, np.uint64)
         self.h = {n: window_hashes(words, n) for n in (length // 4, length // 2, length)}
         sizes = np.diff(self.starts)
@@ -141,9 +141,8 @@ def dedup(docs: DataFrame, length: int = 20) -> DataFrame:
     buckets = ask_buckets(docs.sparkSession)
 
     def build(batch: pa.RecordBatch):
-        words = split_words(batch.column("text"), lower=False)
         ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        return ids, words.codes, words.starts, words.vocab.to_pylist()
+        return ids, split_words(batch.column("text"), lower=False).packed()
 
     def quarters(payload, _):
         level = _Chunk(payload, length, buckets).quarters()
@@ -158,7 +157,7 @@ def dedup(docs: DataFrame, length: int = 20) -> DataFrame:
 
     def use(payload, got: dict) -> Iterator[pa.Table]:
         chunk = _Chunk(payload, length, buckets)
-        gone, starts, vocab = chunk.removed(got), chunk.starts, chunk.vocab
+        gone, starts, vocab = chunk.removed(got), chunk.starts, chunk.text.vocab.to_pylist()
         for part in pieces(1 + np.diff(starts), WORDS_PER_BATCH):
             kept, spans, n = [], [], []
             for i in range(part.start, part.stop):
