@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, decontaminate, substrings, toxicity
+from tallywise.llm import bpe, covertree, decontaminate, substrings, toxicity
 from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
@@ -64,3 +64,8 @@ def op10_toxicity(spark, sf_dir):
 def op8_decontamination(spark, sf_dir):
     return decontaminate.digests(decontaminate.contamination(
         views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20))
+
+
+@query
+def op6_covertree(spark, sf_dir):
+    return covertree.near_duplicates(views.table(spark, sf_dir, "embeddings"), cosine=0.9)
