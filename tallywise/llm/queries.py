@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, covertree, decontaminate, substrings, toxicity
+from tallywise.llm import bpe, covertree, decontaminate, jaccard, substrings, toxicity
 from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
@@ -69,3 +69,8 @@ def op8_decontamination(spark, sf_dir):
 @query
 def op6_covertree(spark, sf_dir):
     return covertree.near_duplicates(views.table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(views.table(spark, sf_dir, "documents"), size=5, percent=75)
