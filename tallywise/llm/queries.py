@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, covertree, decontaminate, jaccard, substrings, toxicity
+from tallywise.llm import bpe, brown, covertree, decontaminate, jaccard, substrings, toxicity
 from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
@@ -74,3 +74,9 @@ def op6_covertree(spark, sf_dir):
 @query
 def op2_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(views.table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
+@query
+def op5_brown_lm(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 1)
+    return brown.score(docs)
