@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, brown, covertree, decontaminate, jaccard, substrings, toxicity
+from tallywise.llm import bpe, brown, covertree, decontaminate, jaccard, lines, substrings, toxicity
 from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
@@ -80,3 +80,12 @@ def op2_jaccard_join(spark, sf_dir):
 def op5_brown_lm(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 1)
     return brown.score(docs)
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    """Removed lines by number, and a digest of the text that is left."""
+    cleaned = lines.dedup(views.table(spark, sf_dir, "documents"), least_words=5)
+    return cleaned.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
+                          F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"),
+                          F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
