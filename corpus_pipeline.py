@@ -5,10 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallywise.llm import bpe
-from tallywise.llm.queries import tokenizer_json
+from tallywise.llm import bpe, decontaminate, jaccard, lines, toxicity
+from tallywise.llm.queries import tokenizer_json, toxicity_model
 from tallywise.session import cut_lineage, tune
+from tallywise.sources import views
+
+
+def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below 0.5; the model learns from the labelled ones among ``docs``."""
+    tune(spark)
+    scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir), keep=tuple(docs.columns))
+    return scored.where("score < 0.5").select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, less the lines that repeat an earlier one; ``n_chars`` is that of the new text."""
+    tune(spark)
+    cleaned = lines.dedup(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(
+            F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are near copies of one another the one with the smallest doc_id; all without near copies.
+
+    Texts without words are near copies of nothing. Where rows share the smallest doc_id all of them stay.
+    """
+    tune(spark)
+    found = jaccard.near_duplicates(docs)
+    dropped = found.where("doc_id <> component_id").select("doc_id", "component_id").distinct()
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    gone = dropped.join(kept, "doc_id", "left_anti").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words is in passages of 13 words of a benchmark item."""
+    tune(spark)
+    judged = decontaminate.contamination(docs, views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20)
+    return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +57,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", keep_harmless),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmarks),
     ("BPE encoding and decoding", tokens),
 ]
 

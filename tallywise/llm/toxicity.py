@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywise.llm.common import split_words
 from tallywise.session import cut_lineage
@@ -152,16 +153,18 @@ class ToxicityModel:
     prior: float
 
 
-def _featured(docs: DataFrame, lexicon: dict, keep: str, schema: str) -> DataFrame:
-    """The column ``keep`` and ``f``, the features of ``text``."""
+def _featured(docs: DataFrame, lexicon: dict, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``_features``, those of ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = features(batch.column("text"), lexicon)
+            f = features(batch.column("_text"), lexicon)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(FEATURES)),
                                             pa.array(f.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(keep), flat], [keep, "f"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], [*keep, "_features"])
 
-    return docs.select(keep, "text").mapInArrow(run, f"{keep} {schema}, f array<double>")
+    kept = docs.select(*keep)
+    schema = T.StructType([*kept.schema.fields, T.StructField("_features", T.ArrayType(T.DoubleType()))])
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def fit(labelled: DataFrame, most_rows: int = 10_000, trees: int = 30, depth: int = 4, seed: int = 7) -> ToxicityModel:
@@ -182,33 +185,34 @@ def fit(labelled: DataFrame, most_rows: int = 10_000, trees: int = 30, depth: in
     if len(counts) < 4:
         return ToxicityModel({}, None, [], [], prior)
     lexicon = learn_lexicon(sample.where("teach"))
-    made = _featured(sample.select(F.struct("label", "teach").alias("y"), "text"), lexicon, "y",
-                     "struct<label:int,teach:boolean>")
-    made = cut_lineage(made.select("y.*", "f").repartition(4)).select("*", array_to_vector("f").alias("features"))
+    made = cut_lineage(_featured(sample, lexicon, ["label", "teach"]).repartition(4))
+    made = made.select("*", array_to_vector("_features").alias("_vector"))
     teach = made.where("teach")
     balance = counts[True, 0] / counts[True, 1]
     teach = teach.withColumn("weight", F.when(F.col("label") == 1, F.lit(balance)).otherwise(F.lit(1.0)))
-    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
+    model = GBTClassifier(featuresCol="_vector", labelCol="label", predictionCol="_label",
+                          weightCol="weight", maxIter=trees, maxDepth=depth,
                           stepSize=0.2, subsamplingRate=1.0, seed=seed, minInstancesPerNode=5).fit(teach)
-    held = model.transform(made.where("not teach")).select("label", vector_to_array("probability")[1].alias("p"))
+    model = model.setRawPredictionCol("_raw").setProbabilityCol("_probability")
+    held = model.transform(made.where("not teach")).select("label", vector_to_array("_probability")[1].alias("p"))
     iso = IsotonicRegression(featuresCol="p", labelCol="label").fit(held)
     return ToxicityModel(lexicon, model, [float(x) for x in iso.boundaries],
                          [float(x) for x in iso.predictions], prior)
 
 
-def score(docs: DataFrame, model: ToxicityModel, least: float = 0.01) -> DataFrame:
-    """``doc_id, features, score`` for each row of ``docs(doc_id, text, ...)``, from the text alone.
+def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), least: float = 0.01) -> DataFrame:
+    """The columns ``keep``, ``_features`` and ``score`` for each row of ``docs(text, ...)``, from the text alone.
 
     The calibrated probability, of which ``least`` is left to the trees' own so that ties keep their order.
     A null text scores as an empty one; repeated rows score alike; other columns are not used.
     """
-    featured = _featured(docs, model.lexicon, "doc_id", "long")
+    featured = _featured(docs, model.lexicon, list(keep))
     if model.trees is None:
-        return featured.select("doc_id", F.col("f").alias("features"), F.lit(float(model.prior)).alias("score"))
-    scored = model.trees.transform(featured.withColumn("features", array_to_vector("f")))
-    scored = scored.select("doc_id", "f", vector_to_array("probability")[1].alias("p"))
-    smooth = (1 - least) * _interpolated(F.col("p"), model.bounds, model.values) + least * F.col("p")
-    return scored.select("doc_id", F.col("f").alias("features"), smooth.alias("score"))
+        return featured.withColumn("score", F.lit(float(model.prior)))
+    scored = model.trees.transform(featured.withColumn("_vector", array_to_vector("_features")))
+    p = vector_to_array("_probability")[1]
+    smooth = (1 - least) * _interpolated(p, model.bounds, model.values) + least * p
+    return scored.select(*keep, "_features", smooth.alias("score"))
 
 
 def _interpolated(p, bounds: list, values: list):
