@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import bpe, brown, covertree, decontaminate, jaccard, lines, substrings, toxicity
+from tallywise.llm import (bpe, brown, covertree, decontaminate, jaccard, licenses, lines, pii, substrings,
+                           toxicity)
 from tallywise.llm.common import remainder
 from tallywise.session import tune
 from tallywise.sources import views
@@ -89,3 +90,23 @@ def op4_line_dedup(spark, sf_dir):
     return cleaned.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
                           F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"),
                           F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op1_licenses(spark, sf_dir):
+    """Each document's license matches, as text."""
+    found = licenses.scan(views.table(spark, sf_dir, "documents"), licenses.template_table(spark), containment=0.75)
+    written = F.transform("licenses", lambda m: F.format_string(
+        "%s:%d-%d", m["license_id"], m["start"], m["end"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+                        F.concat_ws(",", written).alias("licenses"),
+                        F.array_max(F.transform("licenses", lambda m: m["containment"])).alias("most_containment"))
+
+
+@query
+def op9_pii(spark, sf_dir):
+    """How many values of each document were replaced, their kinds, and a digest of the new text."""
+    done = pii.pseudonymize(views.table(spark, sf_dir, "documents"), key="fixed key of this query")
+    return done.select("doc_id", F.size("pii_kinds").cast("long").alias("n_values"),
+                       F.concat_ws(",", F.array_sort("pii_kinds")).alias("kinds"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
