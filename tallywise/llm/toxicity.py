@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywise.llm.common import split_words
+from tallywise.llm.common import pieces, split_words
 from tallywise.session import cut_lineage
 
 SECOND_PERSON = frozenset(
@@ -122,7 +123,7 @@ def learn_lexicon(labelled: DataFrame, least_texts: int = 4, share: float = 0.8,
     stay, which bounds the model. Terms are counted once a text.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches, "text"):
             words = split_words(batch.column("text"), lower=False)
             terms = [terms_of(w) for w in words.vocab.to_pylist()]
             label = batch.column("label").to_pylist()
@@ -153,10 +154,18 @@ class ToxicityModel:
     prior: float
 
 
+def _portions(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that their arrays of words stay small."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        for part in pieces(64 + sizes.astype(np.int64), most_bytes):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def _featured(docs: DataFrame, lexicon: dict, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``_features``, those of ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches, "_text"):
             f = features(batch.column("_text"), lexicon)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(FEATURES)),
                                             pa.array(f.ravel()))
