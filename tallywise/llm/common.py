@@ -51,7 +51,8 @@ class Words:
 
 def split_words(text: pa.Array, lower: bool) -> Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased if asked for; a null text has none."""
-    text = pc.fill_null(text.cast(pa.large_string()), "")
+    # No cast here: the lower-casing of pyarrow 23 misreads a slice that was cast to large_string.
+    text = pc.fill_null(text, "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     offsets = parts.offsets.to_numpy()
     coded = parts.values.dictionary_encode()
