@@ -101,6 +101,18 @@ def _spans(words_: Column, found: Column, window: int) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(found, runs))))
 
 
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+    """``doc, item_id, start, end``: spans of document words that hold a window of the item, word for word.
+
+    ``docs(doc, text)`` with ``doc`` unique, ``items`` from ``item_words``. Spans are as long as the words agree.
+    """
+    placed = candidates(docs, items, window).join(items, "item").groupBy("doc").agg(F.collect_list(
+        F.struct("item_id", "offset", "n", F.col("words").alias("w"))).alias("found"))
+    found = docs.join(placed, "doc").select("doc", words(F.col("text")).alias("words"), "found")
+    spans = found.select("doc", F.explode(_spans(F.col("words"), F.col("found"), window)).alias("s"))
+    return spans.select("doc", "s.item_id", "s.start", "s.end")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 30, share: float = 0.8,
                       window: int = 13) -> DataFrame:
     """``doc, item_id, position, terms``: places where ``share`` of an item's terms stand within ``within`` words.

@@ -1,10 +1,10 @@
 """N-gram Jaccard join with filters under several global token orders.
 
 A token is a hash of an n-gram. Sets that overlap enough share a token among the first ones of each, whatever
-the one order that both are put in. Three orders are used: tokens by hash, by hash from the end, and common
-tokens last. First, sets are dropped that have too few of their first tokens in common with any other set;
-tokens of the others meet under the third order, where frequent n-grams come last, and a pair is compared
-only if it also shares a first token under the two other orders.
+the one order that both are put in. Three orders are used: tokens by hash, by hash from the end, and the
+rarest first. First, sets are dropped that have too few of their first tokens in common with any other set;
+tokens of the others meet under the third order, at positions that leave room for enough common ones, and a
+pair is compared only if it also shares a first token under the two other orders.
 
 Groups of copies are never taken apart into all pairs. The sets of a token's list are first compared with one
 of them, then only sets that are not yet in one component.
@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import (Words, answer, ask, ask_buckets, components, key_message, make_chunks, mix, pieces,
-                                  read_bits, seen_elsewhere, split_words, window_hashes, with_answers)
+from tallywise.llm.common import (CHUNK_SCHEMA, Words, answer, ask, ask_buckets, components, key_message,
+                                  make_chunks, mix, pack, pieces, read_bits, seen_elsewhere, split_words,
+                                  window_hashes, with_answers)
 from tallywise.session import cut_lineage
 
 TOKENS_PER_BATCH = 500_000
@@ -108,36 +109,62 @@ def token_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return with_answers(chunks, answers, use, "doc_id long, n long, node binary, tokens array<long>")
 
 
-def first_tokens(sets: DataFrame, percent: int, sample: int = 2000) -> DataFrame:
-    """``token, node, n``: each set's first tokens in the order that puts common ones last.
+def first_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """``token, node, n, position, alone``: each set's first tokens, rarest first; ``alone`` is the share of its
+    tokens that no other set has. Those hold a position but are not listed, as nothing meets them."""
+    buckets = ask_buckets(sets.sparkSession)
 
-    How common a token is, is measured on about ``sample`` sets. Any measure gives the same links, as it only
-    has to be the same for all sets.
-    """
-    count = sets.count()
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, count))))
-    seen = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    known = np.array(sorted((r.token, r.c) for r in seen.where("c > 2").collect()), np.int64).reshape(-1, 2)
-    common, times = known[:, 0].copy(), known[:, 1].copy()
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for node, n, tokens in zip(batch.column("node"), batch.column("n").to_pylist(), batch.column("tokens")):
-                t = tokens.values.to_numpy()
-                weight = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, t), len(common) - 1)
-                    weight = np.where(common[at] == t, times[at], 0)
-                first = t[np.lexsort((t, weight))[:n - _needed(n, percent) + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first), pa.array([node.as_py()] * len(first), pa.binary()),
-                     pa.array([n] * len(first), pa.int64())], ["token", "node", "n"])
+            n = batch.column("n").to_numpy()
+            for part in pieces(n, TOKENS_PER_BATCH):
+                rows = batch.slice(part.start, part.stop - part.start)
+                tokens = rows.column("tokens").flatten().to_numpy().view(np.uint64)
+                payload = pack((rows.column("node").to_pylist(), rows.column("n").to_numpy().copy(), tokens))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())],
+                                                 ["chunk", "payload"])
+                number += 1
 
-    return sets.select("node", "n", "tokens").mapInArrow(run, "token long, node binary, n long")
+    def messages(payload, _):
+        keys, count = np.unique(payload[2], return_counts=True)
+        where, columns = key_message(keys, buckets)
+        return where, [*columns, np.minimum(count, 65535).astype(np.uint16)]
 
+    def reply(asked: list) -> list:
+        _, inverse = np.unique(np.concatenate([np.cumsum(k) for k, _ in asked]), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate([c for _, c in asked]))
+        total = np.minimum(total, 65535).astype(np.uint16)[inverse]
+        return np.split(total, np.cumsum([len(k) for k, _ in asked])[:-1])
 
-def _similar_size(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    def use(payload, got: dict) -> Iterator[pa.Table]:
+        node, n, tokens = payload
+        _, inverse = np.unique(tokens, return_inverse=True)
+        times = np.concatenate(got[0])[inverse]
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((tokens, times, owner))
+        start = np.cumsum(n) - n
+        position = np.arange(len(tokens)) - start[owner] + 1
+        alone = np.bincount(owner[times == 1], minlength=len(n)) / n
+        length = n - _needed(n, percent) + 1
+        keep = (position <= length[owner]) & (times[order] > 1)
+        who = owner[keep]
+        yield pa.table({"token": pa.array(tokens[order][keep].view(np.int64)),
+                        "node": pa.array([node[i] for i in who], pa.binary()), "n": pa.array(n[who]),
+                        "position": pa.array(position[keep]), "alone": pa.array(alone[who])})
+
+    chunks = sets.select("node", "n", "tokens").mapInArrow(gathered, CHUNK_SCHEMA).repartition("chunk")
+    return with_answers(chunks, answer(ask(chunks, messages, buckets), reply), use,
+                        "token long, node binary, n long, position long, alone double")
+
+
+def _can_link(a: str, b: str, percent: int) -> Column:
+    """Sets alike in size that have room for enough common tokens from a first one at these positions."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    left = 1 + F.least(n - F.col(f"{a}position"), m - F.col(f"{b}position"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,23 +192,25 @@ def _other_pairs(lists: DataFrame, percent: int) -> DataFrame:
     sizes = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"),
                                       F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    few = lists.join(main, "token").where("component <> main").select(
-        "token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    met = lists.join(few, "token").where((F.col("component") != F.col("cx"))
-                                         & _similar_size(F.col("n"), F.col("nx"), percent))
-    return met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    own = [F.col(c).alias(f"x{c}") for c in ("node", "n", "position", "component")]
+    few = lists.join(main, "token").where("component <> main").select("token", *own)
+    met = lists.join(few, "token").where((F.col("component") != F.col("xcomponent")) & _can_link("", "x", percent))
+    return met.select(F.least("node", "xnode").alias("a"), F.greatest("node", "xnode").alias("b")).distinct()
 
 
 def _led_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each set of a token's list with one set of the list, another one in each turn."""
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", "token", F.lit(turn))
-    lead = lists.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "node", "n", "component")).alias("l"))
-    met = lists.join(lead, "token").where((F.col("component") != F.col("l.component"))
-                                          & _similar_size(F.col("n"), F.col("l.n"), percent))
+    """Each set of a token's list with one set of the list.
+
+    In the first turn with the one that has the fewest tokens alone: what copies were made from is closer to
+    them than they are to one another. In later turns with any one.
+    """
+    rank = F.col("alone") if turn == 0 else F.xxhash64("node", "token", F.lit(turn)).cast("double")
+    lead = lists.groupBy("token").agg(F.min(F.struct(rank.alias("r"), "node", "n", "position", "component")).alias("l"))
+    met = lists.join(lead, "token").where((F.col("component") != F.col("l.component")) & _can_link("", "l.", percent))
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, turns: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, turns: int = 1) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text, ...)``.
 
     Words are runs of anything but ASCII white space with A-Z in lower case; a document's set holds its

@@ -26,7 +26,7 @@ SSN = r"\d{3}-\d{2}-\d{4}"
 CARD = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}"
 PATTERN = (f"{EMAIL}|{PHONE}|{DIGITS_BEFORE}(?:{ISO_DATE}|{DOT_DATE}|{SLASH_DATE}|{SSN}|{IPV4}|{CARD})"
            f"{DIGITS_AFTER}")
-#: Dates from 1900-01-01 are permuted among 271 x 270 days, to 2100-05-02.
+#: Dates from 1900-01-01 are permuted among 271 x 270 days, to 2100-05-01.
 FIRST_DAY, DAYS = "1900-01-01", (271, 270)
 
 
@@ -155,7 +155,7 @@ def pseudonymize(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """The rows of ``docs(text, ...)`` with personal values in ``text`` replaced, and their kinds in ``pii_kinds``.
 
     Replaced are: card numbers of 13 to 19 digits with a right check digit (the pseudonym has one too), dates
-    that exist between 1900-01-01 and 2100-05-02 as yyyy-MM-dd, dd.MM.yyyy or MM/dd/yyyy, IPv4 addresses,
+    that exist between 1900-01-01 and 2100-05-01 as yyyy-MM-dd, dd.MM.yyyy or MM/dd/yyyy, IPv4 addresses,
     US social security numbers that can have been given out, and phone numbers of 8 to 15 digits that start
     with a plus sign (the country code stays). Blanks, dots, brackets and hyphens stay where they are. Values
     written differently but with equal digits get equal digits. E-mail addresses get a keyed local part; only
