@@ -206,6 +206,20 @@ def split_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket:
 Cut = tuple[int, float, int | float | str | None]
 
 
+def sortable(value: Column, kind: T.DataType) -> Column:
+    """A number or text that is never NULL and in the order of ``value``: what ``rank_cuts`` can take as tie-break."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(value.cast("double"), F.lit(float("-inf")))
+    if isinstance(kind, T.NumericType):
+        return F.coalesce(value.cast("decimal(38,10)") if isinstance(kind, T.DecimalType) else value.cast("bigint"),
+                          F.lit(-2**63))
+    if isinstance(kind, T.DateType):
+        return F.coalesce(F.unix_date(value).cast("bigint"), F.lit(-2**63))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.unix_micros(value.cast("timestamp")), F.lit(-2**63))
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
 def _tie_order(tie: Column, is_number: bool) -> Column:
     # Text has no value ranges: it is ordered by its hash, then by itself.
     return tie if is_number else F.xxhash64(tie)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import fill_unknown, half_even
-from tallywise.operators.ordered import rank_cuts, rank_part, running_totals
+from tallywise.operators.ordered import rank_cuts, rank_part, running_totals, sortable
 from tallywise.session import cut_lineage
 
 
@@ -35,18 +35,25 @@ def impute_mean(train: DataFrame, df: DataFrame, columns: Sequence[str]) -> Data
 
 
 def null_rate_report(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing rates per column before and after imputation, for both sides of the split."""
-    from tallywise.operators.summary import null_rates
+    """Missing rates per column before and after imputation, for both sides of the split.
 
-    sides = {
-        "train_before": train, "train_after": impute_mean(train, train, columns),
-        "test_before": test, "test_after": impute_mean(train, test, columns),
-    }
-    report: DataFrame | None = None
-    for name, side in sides.items():
-        rates = null_rates(side, columns, name)
-        report = rates if report is None else report.join(rates, "column")
-    return report.orderBy(F.col("train_before").desc(), "column")
+    One aggregate of each side: a column with a training mean has no missing value after imputation, one
+    without keeps its rate.
+    """
+    def rates(side: DataFrame, name: str) -> DataFrame:
+        return side.agg(F.struct(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).alias(name))
+
+    def percent(side: str, c: str, after: bool = False) -> Column:
+        rate = half_even(F.col(f"{side}.{c}") * 100, 2)
+        return F.when(F.col(f"train.{c}") < 1, F.when(rate.isNotNull(), F.lit(0.0))).otherwise(rate) if after else rate
+
+    # Both sides are one row.
+    both = rates(train, "train").join(F.broadcast(rates(test, "test")))
+    lines = F.array(*[F.struct(
+        F.lit(c).alias("column"), percent("train", c).alias("train_before"),
+        percent("train", c, True).alias("train_after"), percent("test", c).alias("test_before"),
+        percent("test", c, True).alias("test_after")) for c in columns])
+    return both.select(F.explode(lines).alias("l")).select("l.*").orderBy(F.col("train_before").desc(), "column")
 
 
 def fill_categories(df: DataFrame, columns: Sequence[str], marker: str = "UNK") -> DataFrame:
@@ -172,10 +179,16 @@ def auc_exact(df: DataFrame, actual: str, score: str) -> DataFrame:
 # ---------------------------------------------------------------- gains and profit
 
 def with_decile(df: DataFrame, score: str, tie: str, parts: int = 10, name: str = "decile") -> DataFrame:
-    """Decile by descending score: ``floor(row / (n / parts))`` for rows in that order."""
-    cuts = rank_cuts(df, score, tie, parts)
-    return df.dropna(subset=[score, tie]).withColumn(
-        name, rank_part(F.col(score).cast("double"), F.col(tie), cuts))
+    """Decile by descending score: ``floor(row / (n / parts))`` for rows in that order.
+
+    A NULL score ranks last, with minus infinity. Equal scores are in order of ``tie``: numbers, dates and
+    times by value, other types by a hash and then by value, NULL first.
+    """
+    ranked = df.withColumns({
+        "_score": F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))),
+        "_tie": sortable(F.col(tie), df.schema[tie].dataType)})
+    cuts = rank_cuts(ranked, "_score", "_tie", parts)
+    return ranked.withColumn(name, rank_part(F.col("_score"), F.col("_tie"), cuts)).drop("_score", "_tie")
 
 
 def gains_table(df: DataFrame, actual: str, decile: str = "decile", loan: float = 10_000.0,

@@ -110,11 +110,19 @@ def boxplot_long(box: DataFrame, key: str) -> DataFrame:
     return box.select(key, F.explode(pairs).alias("p")).select(key, "p.stat", "p.value")
 
 
+def _known(label: Column, months: Sequence[str]) -> Column:
+    unknown = F.raise_error(F.concat(F.lit("month not in the list: "), label)).cast("string")
+    return F.when(label.isNull() | label.isin(*months), label).otherwise(unknown)
+
+
 def boxplot_matrix(box: DataFrame, month: str, months: Sequence[str]) -> DataFrame:
-    """Figures as rows, months (``yyyy-MM``) as columns, rounded half-even to 2 places."""
+    """Figures as rows, months (``yyyy-MM``) as columns, rounded half-even to 2 places.
+
+    A month of the table that is not in ``months`` stops the query.
+    """
     # The inner rounding keeps the noise of interpolation from deciding ties.
     long = boxplot_long(box, month).select(
-        F.date_format(month, "yyyy-MM").alias("ym_label"), "stat", half_even(F.round("value", 6), 2).alias("value"))
+        _known(F.date_format(month, "yyyy-MM"), months).alias("ym_label"), "stat", half_even(F.round("value", 6), 2).alias("value"))
     return long.groupBy("stat").pivot("ym_label", list(months)).agg(F.first("value", ignorenulls=True))
 
 

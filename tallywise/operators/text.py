@@ -31,10 +31,11 @@ def clean_tokens(df: DataFrame, text: str, stop_words: Sequence[str], name: str
 def lemmatize(df: DataFrame, id_col: str, tokens: str, lookup: DataFrame, name: str = "lemmas") -> DataFrame:
     """Tokens replaced by the lemma of a ``(token, lemma)`` table, in place; others stay.
 
+    Of several lemmas of a token the first in order of text is taken.
     The rows of one text leave the map side as one partial list.
     """
     flat = df.select(id_col, F.posexplode_outer(tokens).alias("pos", "token"))
-    hit = flat.join(lookup.dropDuplicates(["token"]), "token", "left")
+    hit = flat.join(lookup.groupBy("token").agg(F.min("lemma").alias("lemma")), "token", "left")
     pair = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("lemma", "token").alias("lemma")))
     grouped = hit.groupBy(id_col).agg(F.sort_array(F.collect_list(pair)).alias("_l"))
     return grouped.select(id_col, F.transform("_l", lambda p: p["lemma"]).alias(name))

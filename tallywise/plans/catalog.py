@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywise.functions import scalars as S
-from tallywise.operators import anomaly, detection, geo, imaging, risk, summary, text, timeline
+from tallywise.operators import anomaly, detection, geo, imaging, models, risk, summary, text, timeline
 from tallywise.plans import studies
 from tallywise.session import cut_lineage, tune
 from tallywise.sources import views
@@ -54,6 +54,22 @@ def _amounts(spark, sf, *columns):
     return views.txn(spark, sf, [*columns, "amount"])
 
 
+# ---------------------------------------------------------------- parsing
+
+@query()
+def parsed_order_text(spark, sf):
+    """Months, US timestamps and amounts parsed back from text, some of which is no number."""
+    day = F.col("o_orderdate")
+    raw = views.table(spark, sf, "orders").select(
+        "o_orderkey", F.date_format(day, "yyyyMM").alias("ym"), F.date_format(day, "M/d/yyyy h:mm:ss a").alias("moment"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(" - ")).otherwise(
+            F.concat(F.lit(" "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" "))).alias("amount"))
+    return raw.select(
+        "o_orderkey", S.month_start(S.month_from_yyyymm(F.col("ym"))).alias("month"),
+        F.date_format(S.parse_us_timestamp(F.col("moment")), "yyyy-MM-dd HH:mm:ss").alias("moment"),
+        S.to_number(F.col("amount"), "decimal(18,2)").cast("double").alias("amount"))
+
+
 # ---------------------------------------------------------------- summaries
 
 @query()
@@ -464,12 +480,14 @@ def profit_sensitivity(spark, sf):
 
 @query()
 def credit_risk_scores(spark, sf):
-    return studies.credit_scores(spark, views.loans(spark, sf), NUMBERS, CATEGORIES, folds=2, candidates=2)
+    # The operator's defaults are the full budgets of three searches; those take hours on one machine.
+    return studies.credit_scores(spark, views.loans(spark, sf), NUMBERS, CATEGORIES, folds=5, candidates=3,
+                                 searches=(models.TREE, models.LOGISTIC))
 
 
 @query()
 def credit_risk_importance(spark, sf):
-    return studies.credit_importance(spark, views.loans(spark, sf), NUMBERS, CATEGORIES, folds=2, candidates=2)
+    return studies.credit_importance(spark, views.loans(spark, sf), NUMBERS, CATEGORIES, folds=5, candidates=3)
 
 
 # ---------------------------------------------------------------- text

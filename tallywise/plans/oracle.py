@@ -395,6 +395,9 @@ SELECT CAST(i AS INTEGER) AS bin_id, {rnd('e[i]', 'lo')}, {rnd('e[i + 1]', 'hi')
 FROM bins LEFT JOIN hits USING (i)"""
     q["long_gaps"] = f"WITH {TXN}, {GAPS} SELECT cardholder, max(days_since_last) AS days_since_last FROM g WHERE days_since_last > 240 GROUP BY cardholder"
 
+    q["parsed_order_text"] = f"""SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS month,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS moment,
+  CASE WHEN o_orderkey % 7 <> 0 THEN {rnd('o_totalprice::DECIMAL(18,2)::DOUBLE', 'x').rpartition(' AS ')[0]} END AS amount FROM orders"""
     q["hash_split"] = f"WITH {LOANS} SELECT row_id, is_train FROM split"
     means = ", ".join(f"(SELECT avg({c}) FROM split WHERE is_train) AS m_{c}" for c in C.NUMBERS)
     filled = ", ".join(rnd(f"coalesce({c}, m_{c})", c, 3) for c in C.NUMBERS)

@@ -126,17 +126,19 @@ def _prepared(loans: DataFrame, numbers: Sequence[str], categories: Sequence[str
 
 
 def credit_models(train: DataFrame, label: str = "label", folds: int = 5, candidates: int | None = None,
-                  searches: Sequence[models.Search] = (models.TREE, models.LOGISTIC, models.BOOSTED)):
-    return {s.kind: models.random_search(train, s, label, folds=folds, candidates=candidates).bestModel for s in searches}
+                  searches: Sequence[models.Search] = (models.TREE, models.LOGISTIC, models.BOOSTED),
+                  row_id: str = "row_id"):
+    return {s.kind: models.random_search(train, s, label, folds=folds, candidates=candidates, row_id=row_id).bestModel
+            for s in searches}
 
 
 def credit_scores(spark: SparkSession, loans: DataFrame, numbers: Sequence[str], categories: Sequence[str],
                   label: str = "label", row_id: str = "row_id", folds: int = 5, candidates: int | None = None,
-                  searches: Sequence[models.Search] = (models.TREE, models.LOGISTIC)) -> DataFrame:
+                  searches: Sequence[models.Search] = (models.TREE, models.LOGISTIC, models.BOOSTED)) -> DataFrame:
     """Test rows with class and probability of each searched model."""
     train, test = _prepared(loans, numbers, categories, label, row_id, 0.7, 0)
     out: DataFrame | None = None
-    for kind, model in credit_models(train, label, folds, candidates, searches).items():
+    for kind, model in credit_models(train, label, folds, candidates, searches, row_id).items():
         scored = models.predict(model, test, [row_id, label]).withColumn("model", F.lit(kind))
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -147,7 +149,7 @@ def credit_importance(spark: SparkSession, loans: DataFrame, numbers: Sequence[s
                       n: int = 20) -> DataFrame:
     """The ``n`` features the best tree uses most; one row per feature."""
     train, _ = _prepared(loans, numbers, categories, label, row_id, 0.7, 0)
-    model = credit_models(train, label, folds, candidates, [models.TREE])["tree"]
+    model = credit_models(train, label, folds, candidates, [models.TREE], row_id)["tree"]
     rows = models.feature_importance(model, [*numbers, *categories], n)
     return spark.createDataFrame([(a, float(b)) for a, b in rows], "feature string, importance double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,25 +52,30 @@ def read_card_transactions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_without_row_index(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Delimited text whose first column is a stored row index, dropped here."""
-    df = read_csv(spark, path, schema, quote='"', escape='"', multiLine="true")
+def read_without_row_index(spark: SparkSession, path: str, schema: str | T.StructType,
+                           line_breaks_in_fields: bool = False) -> DataFrame:
+    """Delimited text whose first column is a stored row index, dropped here.
+
+    With ``line_breaks_in_fields`` a file can't be split and is one task.
+    """
+    df = read_csv(spark, path, schema, quote='"', escape='"', multiLine=str(line_breaks_in_fields).lower())
     return df.drop(df.columns[0])
 
 
 def read_glossary(spark: SparkSession, path: str, skip: int = 3, columns: Sequence[str] = ("Var", "description")) -> DataFrame:
     """Two columns of a glossary whose header follows ``skip`` other lines.
 
-    A glossary names the columns of a table, so its lines are few; the file is read as text and
-    the lines before and with the header are left out by their number.
+    A glossary names the columns of a table, so its lines are few; the header is read first, the other lines
+    are parsed with its columns, quoted fields included. A record is one line.
     """
     lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    header = F.split(F.get("lines", F.lit(skip)), ",")
-    body = lines.select(header.alias("h"), F.explode(F.slice("lines", skip + 2, F.size("lines"))).alias("line"))
-    record = F.split("line", ",", -1)
-    cells = body.where(F.length(F.trim("line")) > 0).select("h", record.alias("r"))
-    at = {c: F.array_position("h", c).cast("int") for c in columns}
-    return cells.select(*[F.trim(F.get("r", at[c] - 1)).alias(c) for c in columns])
+    first = lines.select(F.get("lines", F.lit(skip)).alias("h")).first()
+    header = [c.strip() for c in next(csv.reader([first["h"] if first and first["h"] else ""]))]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+    body = lines.select(F.explode(F.slice("lines", skip + 2, F.size("lines"))).alias("line"))
+    cells = body.where(F.length(F.trim("line")) > 0).select(
+        F.from_csv("line", schema.simpleString()[len("struct<"):-1].replace(":", " "), {"escape": '"'}).alias("r"))
+    return cells.select(*[F.trim(F.col(f"r.c{header.index(c)}")).alias(c) for c in columns])
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
@@ -98,15 +104,16 @@ def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
         F.substring(F.col("data"), F.col("y") * step + 1, step).alias("bytes"),
     )
     pixels = lines.select(
-        "image_id", "nChannels", "y", F.hex("bytes").alias("hex"),
+        "image_id", "nChannels", "y", "bytes",
         F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"),
     )
 
     def channel(offset: int):
         # Grey images have one channel for all three colours.
         at = F.when(F.col("nChannels") == 1, F.lit(0)).otherwise(F.lit(offset))
-        start = (F.col("x") * F.col("nChannels") + at) * 2 + 1
-        return F.conv(F.substring(F.col("hex"), start, F.lit(2)), 16, 10).cast("int")
+        # A slice of binary takes the same time wherever it is, one of text does not.
+        byte = F.substring(F.col("bytes"), F.col("x") * F.col("nChannels") + at + 1, F.lit(1))
+        return F.conv(F.hex(byte), 16, 10).cast("int")
 
     return pixels.select("image_id", "x", "y", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
 

@@ -71,16 +71,19 @@ def stream_refunds(stream: DataFrame, entity: str, is_refund: Column, amount: Co
     )
 
 
-def gaps_by_batch(stream: DataFrame, entity: str, event_id: str, ts: str = "ts", name: str = "gaps") -> DataFrame:
+def gaps_by_batch(stream: DataFrame, entity: str, event_id: str, ts: str = "ts", name: str = "gaps",
+                  path: str | None = None) -> DataFrame:
     """Whole days since the entity's last event, over all data there is now.
 
+    With ``path``, a folder of this job alone, a later call goes on where the last one ended.
+
     Each micro-batch is ordered like a table, so an entity with most of its rows is split over
     tasks. The last event per entity is a table in the shared folder, one version per batch; a
     batch that is run again overwrites its own version and its own output. A row older than the
     table is late: it is passed on with ``late`` set and no gap.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = path or scratch_path(spark, name)
     last_schema = stream.select(entity, F.col(ts).alias("_last")).schema
     out_schema = stream.select(
         entity, event_id, F.lit(0).cast("bigint").alias("days_since_last"), F.lit(False).alias("late")).schema
@@ -103,7 +106,7 @@ def gaps_by_batch(stream: DataFrame, entity: str, event_id: str, ts: str = "ts",
         known.unionByName(newest).groupBy(entity).agg(F.max("_last").alias("_last")).write.mode(
             "overwrite").parquet(f"{root}/last/{epoch}")
 
-    run_each_batch(stream, step, name, "append")
+    run_each_batch(stream, step, name, "append", root)
     return spark.read.schema(out_schema).parquet(f"{root}/out").select(*out_schema.names)
 
 
@@ -122,21 +125,22 @@ def stream_gaps(stream: DataFrame, entity: str, event_id: str, ts: str = "ts", i
             state.remove()
             return
         last, late = state.get if state.exists else (None, 0)
-        for batch in sorted(batches, key=lambda b: b["_us"].min()):
-            batch = batch.sort_values(["_us", event_id])
-            us = batch["_us"].to_numpy()
-            out = []
-            for moment, event in zip(us.tolist(), batch[event_id].tolist()):
-                if last is not None and moment < last:
-                    late += 1
-                    out.append((event, None, True))
-                    continue
-                out.append((event, None if last is None else (moment - last) // MICROS_PER_DAY, False))
-                last = moment
-            frame = pd.DataFrame(out, columns=[event_id, "days_since_last", "late"])
-            frame["days_since_last"] = frame["days_since_last"].astype("Int64")
-            frame.insert(0, entity, key[0])
-            yield frame
+        # Arrow may hand over one entity's rows in several batches that overlap in time.
+        rows = pd.concat(list(batches)).sort_values(["_us", event_id])
+        behind = rows["_us"] < last if last is not None else pd.Series(False, rows.index)
+        fresh, old = rows[~behind], rows[behind]
+        before = fresh["_us"].shift().astype("Int64")
+        if len(fresh):
+            before.iloc[0] = pd.NA if last is None else last
+            last = int(fresh["_us"].iloc[-1])
+        late += len(old)
+        out = pd.concat([
+            pd.DataFrame({event_id: fresh[event_id], "late": False,
+                          "days_since_last": (fresh["_us"].astype("Int64") - before) // MICROS_PER_DAY}),
+            pd.DataFrame({event_id: old[event_id], "late": True,
+                          "days_since_last": pd.Series(pd.NA, old.index, dtype="Int64")})])
+        out.insert(0, entity, key[0])
+        yield out[[entity, event_id, "days_since_last", "late"]]
         state.update((last, late))
         if state.getCurrentWatermarkMs() is not None and last is not None:
             state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
@@ -148,10 +152,14 @@ def stream_gaps(stream: DataFrame, entity: str, event_id: str, ts: str = "ts", i
         update, schema, "last_us bigint, late bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over all data there is now, into parquet in the shared folder, and read that back."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run over all data there is now, into parquet, and read that back.
+
+    ``path`` is a folder of this job alone, with its output and its checkpoint: a later call with the same one
+    goes on where the last one ended. Without it a folder of its own in the shared folder is taken.
+    """
     spark = stream.sparkSession
-    root = scratch_path(spark, name)
+    root = path or scratch_path(spark, name)
     query = (
         stream.writeStream.outputMode(mode).format("parquet")
         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
@@ -161,9 +169,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def run_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "update") -> None:
-    """Run over all data there is now and hand every micro-batch to ``write``."""
-    root = scratch_path(stream.sparkSession, name)
+def run_each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "update",
+                   path: str | None = None) -> None:
+    """Run over all data there is now and hand every micro-batch to ``write``; ``path`` as in ``run_to_table``."""
+    root = path or scratch_path(stream.sparkSession, name)
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state")
         .foreachBatch(write).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywise.functions.text import KEPT_NEGATIONS, english_stop_words
-from tallywise.operators import detection, geo, imaging, models, text, timeline
+from tallywise.operators import detection, geo, imaging, models, risk, summary, text, timeline
 from tallywise.plans import studies
 from tallywise.sources import readers
 from tallywise.streaming import monitors
@@ -197,6 +197,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "g.csv").write_text("title\n\nnote\nNo,Var,description,x\n1,A1,Age,z\n2,B2,Amount,z\n")
     names = {r["Var"]: r["description"] for r in readers.read_glossary(spark, str(tmp_path / "g.csv")).collect()}
     assert readers.rename_by_lookup(spark.range(1).selectExpr("id as A1", "id as other"), names).columns == ["Age", "other"]
+    (tmp_path / "q.csv").write_text('a\nb\nc\n"Var",No,description\nv1,1,"loan amount, ""gross"""\nv2,2,\n')
+    got = [tuple(r) for r in readers.read_glossary(spark, str(tmp_path / "q.csv")).collect()]
+    assert got == [("v1", 'loan amount, "gross"'), ("v2", None)]
     (tmp_path / "l.txt").write_text(" 00:14:36 \n00:23:42\n")
     assert [r["line"] for r in readers.read_lines(spark, str(tmp_path / "l.txt")).collect()] == ["00:14:36", "00:23:42"]
     (tmp_path / "p.json").write_text(json.dumps({"name": "a", "ord": 1, "rings": [[{"x": 0, "y": 1}]]}))
@@ -281,3 +284,58 @@ def test_worker_functions_travel_by_value(tmp_path):
     done = subprocess.run([sys.executable, "-c", "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"],
                           input=blob, cwd=tmp_path, capture_output=True, timeout=60)
     assert done.returncode == 0, done.stderr
+
+
+def test_stream_gaps_of_any_batch_layout(spark, tmp_path):
+    """Shuffled rows in small Arrow batches give the gaps of the ordered table."""
+    import random
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), 7) for i in range(120)]
+    random.Random(1).shuffle(rows)
+    schema = "event_id long, ts timestamp, user_id long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        stream = monitors.read_event_stream(spark, str(tmp_path / "in"), schema, "*.parquet")
+        out = monitors.run_to_table(monitors.stream_gaps(stream, "user_id", "event_id"), "g").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {r["event_id"]: (r["days_since_last"], r["late"]) for r in out} == {
+        i: (None if i == 0 else 0, False) for i in range(120)}
+
+
+@pytest.mark.parametrize("by_batch", [True, False])
+def test_streams_go_on_where_they_ended(spark, tmp_path, by_batch):
+    day, schema = dt.datetime(2024, 1, 1), "event_id long, ts timestamp, user_id long"
+    for i in range(2):
+        spark.createDataFrame([(i, day + dt.timedelta(days=3 * i), 7)], schema).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+        stream = monitors.read_event_stream(spark, str(tmp_path / "in"), schema, "*.parquet")
+        path = str(tmp_path / "job")
+        out = monitors.gaps_by_batch(stream, "user_id", "event_id", path=path) if by_batch else monitors.run_to_table(
+            monitors.stream_gaps(stream, "user_id", "event_id"), "g", path=path)
+    assert sorted((r["event_id"], r["days_since_last"]) for r in out.collect()) == [(0, None), (1, 3)]
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "decimal(9,2)", "string", "double", "int"])
+def test_deciles_with_any_tie_break_and_missing_scores(spark, kind):
+    n = 500
+    tie = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 97).cast("int"))
+    tie = tie.cast(kind) if kind in ("date", "timestamp") else (F.col("id") % 97).cast(kind)
+    df = spark.range(n).select("id", F.when(F.col("id") % 10 > 0, F.lit(1.0)).alias("s"),
+                               F.when(F.col("id") % 50 != 3, tie).alias("t"))
+    out = risk.with_decile(df, "s", "t")
+    assert out.columns == ["id", "s", "t", "decile"] and out.count() == n
+    last = {r["decile"] for r in out.where("s is null").collect()}
+    assert last == {9}
+    sizes = {r["decile"]: r["count"] for r in out.where("s is not null").groupBy("decile").count().collect()}
+    assert max(sizes.values()) - min(sizes.values()) <= 16
+
+
+def test_months_outside_the_list_stop_the_matrix(spark):
+    df = spark.createDataFrame([(dt.date(2024, m, 1), float(m)) for m in (1, 2)], "ym date, v double")
+    box = summary.boxplot(df, "ym", "v")
+    assert summary.boxplot_matrix(box, "ym", ["2024-01", "2024-02"]).count() == 10
+    with pytest.raises(Exception, match="month not in the list"):
+        summary.boxplot_matrix(box, "ym", ["2024-01"]).collect()
