@@ -96,6 +96,16 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def within_one(a, b):
+    """An edit distance of one or none, by what both ends share."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    short = min(len(a), len(b))
+    front = next((i for i in range(short) if a[i] != b[i]), short)
+    back = next((i for i in range(short) if a[-i - 1] != b[-i - 1]), short)
+    return front + back >= max(len(a), len(b)) - 1
+
+
 def removed_lines(rows, least=5):
     """``[(doc_id, [line numbers])]``."""
     place = lambda d, i: (d is not None, d or 0, i)
@@ -103,7 +113,7 @@ def removed_lines(rows, least=5):
              for i, x in enumerate(t.split("\n")) if len(x.split(" ")) >= least]
     gone = defaultdict(list)
     for r, at, w in lines:
-        if any(other < at and abs(len(v) - len(w)) <= 1 and edit_distance(v, w) <= 1 for _, other, v in lines):
+        if any(other < at and within_one(v, w) for _, other, v in lines):
             gone[r].append(at[2])
     return [(d, gone[r]) for r, (d, _) in enumerate(rows)]
 

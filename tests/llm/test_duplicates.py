@@ -180,3 +180,10 @@ def test_equal_vectors_count_as_often_as_they_occur(spark):
     _, table = vectors(spark)
     rows = covertree.near_duplicates(table).where(F.col("vec_id") >= 300).collect()
     assert len({r.n_links for r in rows}) == 1 and rows[0].n_links >= 20
+
+
+def test_plain_edit_check():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ([rng.choice("ab") for _ in range(rng.randrange(6))] for _ in range(2))
+        assert brute.within_one(a, b) == (brute.edit_distance(a, b) <= 1)
