@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tallywise.llm import (bpe, brown, covertree, decontaminate, jaccard, licenses, lines, pii, substrings,
                            toxicity)
 from tallywise.llm.common import remainder
+from tallywise.llm.oracle import ORACLE_SQL  # noqa: F401
 from tallywise.session import tune
 from tallywise.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
