@@ -3,26 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywise.llm import bpe, decontaminate, jaccard, lines, toxicity
 from tallywise.llm.queries import tokenizer_json, toxicity_model
-from tallywise.session import cut_lineage, tune
+from tallywise.session import cut_lineage, recorded_scratch, remove_scratch, tune
 from tallywise.sources import views
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage called last. Its result is written by the time the next one is called.
+_left: list[str] = []
+
+
+def stage(fn: Stage) -> Stage:
+    """A stage that first removes what the stage before it left in the shared folder."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_scratch(spark, _left)
+        with recorded_scratch() as made:
+            out = fn(tune(spark), docs, sf_dir)
+        _left.extend(made)
+        return out
 
+    return run_stage
+
+
+@stage
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; the model learns from the labelled ones among ``docs``."""
-    tune(spark)
     scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir), keep=tuple(docs.columns))
     return scored.where("score < 0.5").select(*docs.columns)
 
 
+@stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, less the lines that repeat an earlier one; ``n_chars`` is that of the new text."""
-    tune(spark)
     cleaned = lines.dedup(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(
@@ -30,12 +48,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cleaned.select(*docs.columns)
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are near copies of one another the one with the smallest doc_id; all without near copies.
 
     Texts without words are near copies of nothing. Where rows share the smallest doc_id all of them stay.
     """
-    tune(spark)
     found = jaccard.near_duplicates(docs)
     dropped = found.where("doc_id <> component_id").select("doc_id", "component_id").distinct()
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
@@ -43,19 +61,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is in passages of 13 words of a benchmark item."""
-    tune(spark)
     judged = decontaminate.contamination(docs, views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20)
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document that is left."""
     return bpe.digests(bpe.encode(docs, tokenizer_json()))
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", keep_harmless),
     ("line dedup", without_repeated_lines),
@@ -71,6 +89,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order."""
     docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    for _, one in STAGES[:-1]:
+        docs = cut_lineage(one(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

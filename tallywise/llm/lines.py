@@ -122,6 +122,7 @@ def dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.write.bucketBy(buckets, "_row").option("path", scratch_path(spark, "lines")).saveAsTable(name)
     stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are external, and `stored` knows them
     lines = repeated_lines(stored.select(F.col("_row").alias("row"), "doc_id", "text"), least_words)
     joined = stored.join(lines.withColumnRenamed("row", "_row").withColumnRenamed("lines", "_lines"), "_row", "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")

@@ -59,8 +59,9 @@ def test_stages(spark):
 def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF_DIR)
-        assert docs.collect() == []
+        out = stage(spark, docs, SF_DIR)
+        assert out.collect() == []
+        docs = spark.createDataFrame([], out.schema)
 
 
 def test_each_operator_has_one_query():
@@ -68,3 +69,14 @@ def test_each_operator_has_one_query():
 
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_stages_clear_up(spark):
+    from pathlib import Path
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, SF_DIR)
+    out = spark.createDataFrame(out.collect(), out.schema)
+    left = list(corpus_pipeline._left)
+    dict(corpus_pipeline.STAGES)["BPE encoding and decoding"](spark, out, SF_DIR)
+    assert left and not any(Path(p.removeprefix("file:")).exists() for p in left)
