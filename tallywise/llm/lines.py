@@ -64,16 +64,19 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return front + back >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def repeated_lines(texts: DataFrame, least_words: int = 5) -> DataFrame:
+def repeated_lines(texts: DataFrame, least_words: int = 5, short_copies: bool = False) -> DataFrame:
     """``row, lines``: the numbers of the lines to remove from each row of ``texts(row, doc_id, text)``.
 
     ``row`` is a hash partitioning key of ``texts``; rows that share one have the same doc_id and text.
     """
     split = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    split = split.withColumn("words", F.split("content", " ")).where(F.size("words") >= least_words)
+    split = split.withColumn("words", F.split("content", " "))
+    compared = F.size("words") >= least_words
+    split = split.where(F.col("content") != "") if short_copies else split.where(compared)
     lines = cut_lineage(split.select("row", _place(F.col("doc_id"), F.col("line")).alias("place"), "line",
                                      F.xxhash64("words").alias("h"), F.hash("words").alias("g"),
-                                     _halves(F.col("words")).alias("halves")))
+                                     # Of short lines only exact copies count: they have no halves to share.
+                                     F.when(compared, _halves(F.col("words"))).alias("halves")))
     first = lines.groupBy("h", "g").agg(F.min("place").alias("first"))
     copies = lines.select("row", "line", "place", "h", "g").join(first, ["h", "g"]).where("place > first")
     halves = lines.select("h", F.explode("halves").alias("half"))
@@ -103,12 +106,13 @@ def repeated_lines(texts: DataFrame, least_words: int = 5) -> DataFrame:
     return removed.groupBy("row").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = 5, short_copies: bool = False) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` with ``text`` less its repeated lines, and ``removed_lines``.
 
     Lines end at a line feed, words at a blank. A line of ``least_words`` words or more is removed if an
     earlier line, removed or not, differs from it by one added, missing or changed word at most; earlier is
-    in a document with a smaller doc_id (null first), or further up in the same one. Shorter lines stay.
+    in a document with a smaller doc_id (null first), or further up in the same one. Shorter lines stay;
+    with ``short_copies`` they go too if an earlier line equals them, and only empty lines always stay.
     ``removed_lines`` are the numbers of the removed lines, from 0. The other lines keep their order; a text
     without removed lines is unchanged, a null one stays null. Rows that share a doc_id count as one document:
     equal lines with the same number in both are earlier in neither. Repeated rows give equal results; other
@@ -123,7 +127,8 @@ def dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     made.write.bucketBy(buckets, "_row").option("path", scratch_path(spark, "lines")).saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files are external, and `stored` knows them
-    lines = repeated_lines(stored.select(F.col("_row").alias("row"), "doc_id", "text"), least_words)
+    lines = repeated_lines(stored.select(F.col("_row").alias("row"), "doc_id", "text"), least_words,
+                           short_copies)
     joined = stored.join(lines.withColumnRenamed("row", "_row").withColumnRenamed("lines", "_lines"), "_row", "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")
     text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)

@@ -86,7 +86,16 @@ def op5_brown_lm(spark, sf_dir):
 @query
 def op4_line_dedup(spark, sf_dir):
     """Removed lines by number, and a digest of the text that is left."""
-    cleaned = lines.dedup(views.table(spark, sf_dir, "documents"), least_words=5)
+    return _line_digests(lines.dedup(views.table(spark, sf_dir, "documents"), least_words=5))
+
+
+@query
+def op4_line_dedup_all_copies(spark, sf_dir):
+    """As ``op4_line_dedup``, and exact copies of lines of any length go too; empty lines stay."""
+    return _line_digests(lines.dedup(views.table(spark, sf_dir, "documents"), least_words=5, short_copies=True))
+
+
+def _line_digests(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
                           F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"),
                           F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -100,6 +100,24 @@ def test_lines_one_edit_apart(spark):
     assert ordered((r.doc_id, r.removed_lines) for r in out) == ordered(brute.removed_lines(texts))
 
 
+def test_lines_copies_of_any_length(spark, docs, corpus):
+    extra = [(70, "Les.\n\n\nLes.\n\u6f22\u5b57\na\tb\tc\n "), (71, "Les\nLes.\n\u6f22\u5b57\na\tb\tc\n "),
+             (None, "Les.\nLes."), (71, "one two three four five\none two three four six")]
+    rows = [*corpus, *extra]
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), short_copies=True).collect()
+    # A brute force without a minimum for copies; the one-word edit alone has it.
+    place = lambda d, i: (d is not None, d or 0, i)
+    first = {}
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            first[x] = min(first.get(x, place(d, i)), place(d, i))
+    want = []
+    for (d, t), (_, edited) in zip(rows, brute.removed_lines(rows)):
+        copies = {i for i, x in enumerate((t or "").split("\n")) if x and first[x] < place(d, i)}
+        want.append((d, sorted(copies | set(edited))))
+    assert ordered((r.doc_id, r.removed_lines) for r in out) == ordered(want)
+
+
 def test_lines_of_nothing(no_docs):
     assert lines.dedup(no_docs).collect() == []
 
