@@ -1,5 +1,8 @@
 """The whole analyses run on the test tables and agree with their parts."""
 
+from types import SimpleNamespace
+
+import __spark_entry__ as entry
 from tallywise.plans import studies
 from tallywise.plans.catalog import BOOSTERS, LEXICON, MONTHS, NEGATIONS
 from tallywise.sources import views
@@ -37,3 +40,23 @@ def test_other_studies(spark):
     assert colors["palette_by_share"].count() == colors["centers"].count() == 20
     cuts = studies.cut_timeline(views.cut_points(spark, SF))
     assert cuts["segments"].where("start_s is null or end_s is null").count() == 0
+
+
+def test_credit_queries_search_all_candidates(spark, monkeypatch):
+    searched = []
+
+    def search(train, search, label, folds, candidates, row_id):
+        searched.append((search.kind, candidates or search.candidates, folds))
+        return SimpleNamespace(bestModel=None)
+
+    none = spark.createDataFrame([], "row_id string, label int, predicted int, probability double")
+    monkeypatch.setattr(studies, "_prepared", lambda *a: (None, None))
+    monkeypatch.setattr(studies.models, "random_search", search)
+    monkeypatch.setattr(studies.models, "predict", lambda *a: none)
+    monkeypatch.setattr(studies.models, "feature_importance", lambda *a: [("a", 1.0)])
+    queries = entry.queries()
+    queries["credit_risk_scores"](spark, SF)
+    assert searched == [("tree", 30, 5), ("logistic", 50, 5), ("boosted", 40, 5)]
+    searched.clear()
+    queries["credit_risk_importance"](spark, SF)
+    assert searched == [("tree", 30, 5)]
