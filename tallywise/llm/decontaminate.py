@@ -3,8 +3,8 @@
 For every window of an item the two rarest terms are its anchors. The index holds the postings
 ``(term, document, position)`` of the anchors; the list of the rarest is intersected with that of the second,
 moved by their distance. What is left says at which offset an item may lie in a document; there the words are
-compared, and runs of equal words as long as a window are exact phrase matches. Proximity matches take the
-anchors' postings and ask for a number of the item's terms close by.
+compared, and runs of equal words as long as a window are exact phrase matches. Proximity matches take as anchors
+an item's rarest terms, one more than may be missing, and ask for a number of the item's terms close by.
 """
 
 from __future__ import annotations
@@ -113,23 +113,51 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13) -> DataF
     return spans.select("doc", "s.item_id", "s.start", "s.end")
 
 
+def proximity_anchors(items: DataFrame, frequency: DataFrame, share: float) -> DataFrame:
+    """``item, term``: of each item's terms the rarest, one more than may be missing. Terms no document has come first."""
+    terms = items.select("item", F.explode(F.array_distinct("words")).alias("term")).join(frequency, "term", "left")
+    ranked = terms.groupBy("item").agg(F.array_sort(F.collect_list(
+        F.struct(F.coalesce("frequency", F.lit(0)).alias("frequency"), "term"))).alias("a"))
+    enough = F.size("a") - _least_terms(F.size("a"), share) + 1
+    return ranked.select("item", F.explode(F.slice("a", F.lit(1), enough)).alias("a")).where(
+        "a.frequency > 0").select("item", "a.term")
+
+
+def _least_terms(n: Column, share: float) -> Column:
+    return F.greatest(F.ceil(F.lit(share) * n), F.lit(1)).cast("int")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 30, share: float = 0.8,
                       window: int = 13) -> DataFrame:
-    """``doc, item_id, position, terms``: places where ``share`` of an item's terms stand within ``within`` words.
+    """``doc, item_id, position, terms``: places from which on ``share`` of an item's terms stand within ``within`` words.
 
-    Places are those of the rarest term of a window; ``terms`` counts the item's distinct terms from there on.
+    Places are those of a term of the item; ``terms`` counts the item's distinct terms among the ``within`` words
+    from there on, or among as many as the item has if those are more. A document that lacks each of the item's
+    rarest terms, one more than may be missing, has no such place. ``window`` is not used. Other columns of
+    ``docs(doc, text, ...)`` are kept.
     """
-    anchor = stored_anchors(docs, items, window)
-    index = postings(docs, cut_lineage(anchor.select("term").distinct()))
-    at = anchor.select("item", "term").distinct().join(index, "term").select("item", "doc", "position").distinct()
-    at = at.join(items.select("item", "item_id", F.array_distinct("words").alias("terms_of")), "item")
-    per_doc = at.groupBy("doc").agg(F.collect_list(F.struct("item_id", "position", "terms_of")).alias("c"))
-    found = docs.join(per_doc, "doc").select("doc", words(F.col("text")).alias("words"), F.explode("c").alias("c"))
-    near = F.slice("words", F.greatest(F.lit(0), F.col("c.position") - within // 2) + 1, F.lit(within))
-    n = F.size(F.array_intersect(near, F.col("c.terms_of")))
-    return (found.select("doc", F.col("c.item_id").alias("item_id"), F.col("c.position").alias("position"),
-                         n.alias("terms"), (share * F.size("c.terms_of")).alias("least"))
-            .where("terms >= least").drop("least"))
+    all_terms = cut_lineage(items.select(F.explode("words").alias("term")).distinct())
+    anchor = cut_lineage(proximity_anchors(items, cut_lineage(frequencies(docs, all_terms)), share))
+    holds = docs.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    holds = holds.join(cut_lineage(anchor.select("term").distinct()), "term")
+    pairs = anchor.join(cut_lineage(holds), "term").select("item", "doc").distinct()
+    terms_of = items.select("item", "item_id", "n", F.array_distinct("words").alias("terms_of"))
+    per_doc = pairs.join(terms_of, "item").groupBy("doc").agg(
+        F.collect_list(F.struct("item_id", "n", "terms_of")).alias("c"))
+    found = docs.join(per_doc, "doc").withColumn("words", words(F.col("text")))
+    least = lambda c: _least_terms(F.size(c["terms_of"]), share)
+    # A document without enough of the terms anywhere goes before its places are looked at.
+    found = found.withColumn("c", F.explode(F.filter(
+        "c", lambda c: F.size(F.array_intersect(F.col("words"), c["terms_of"])) >= least(c))))
+    size = F.greatest(F.lit(within), F.col("c.n"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1),
+                      lambda i: F.array_contains(F.col("c.terms_of"), F.get("words", i)))
+    places = F.filter(F.transform(starts, lambda i: F.struct(i.alias("position"), F.size(F.array_intersect(
+        F.slice("words", i + 1, size), F.col("c.terms_of"))).alias("terms"))),
+        lambda x: x["terms"] >= least(F.col("c")))
+    kept = [c for c in docs.columns if c not in ("doc", "text")]
+    return found.select("doc", *kept, F.col("c.item_id").alias("item_id"), F.explode(places).alias("p")).select(
+        "doc", *kept, "item_id", "p.position", "p.terms")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05) -> DataFrame:

@@ -67,6 +67,15 @@ def op8_decontamination(spark, sf_dir):
         views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20))
 
 
+@query
+def op8_proximity(spark, sf_dir):
+    """Per document and item the places where 0.8 of the item's terms stand close together."""
+    docs = views.table(spark, sf_dir, "documents").select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
+    items = decontaminate.item_words(views.table(spark, sf_dir, "benchmark"))
+    found = decontaminate.proximity_matches(docs, items, within=30, share=0.8)
+    return found.select("doc_id", "item_id", "position", "terms")
+
+
 @query
 def op6_covertree(spark, sf_dir):
     return covertree.near_duplicates(views.table(spark, sf_dir, "embeddings"), cosine=0.9)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -135,6 +136,29 @@ def test_phrases_and_proximity(spark):
     assert {r.doc for r in near} <= {1, 2}
 
 
+def test_proximity_with_missing_terms(spark):
+    """Any fifth of the terms may be missing, the rarest and those no document has among them."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(5, 40)))) for i in range(80)]
+    texts += [(100, "x a b c d y"), (101, "a c d e"), (102, None)]
+    wanted = [(1, "a b c d rare"), (2, "a b c d e f g h i j"), (3, "k l m n absent"), (4, "a a b b c never1 never2"),
+              (5, "p o n m l k j i h g")]
+    docs = spark.createDataFrame([*texts, (103, "rare")], "doc long, text string")
+    items_ = decontaminate.item_words(spark.createDataFrame(wanted, "item_id long, text string"))
+    want = set()
+    for d, t in texts:
+        w = (t or "").split()
+        for item, x in wanted:
+            terms, size = set(x.split()), max(12, len(x.split()))
+            for i in range(len(w)):
+                n = len(terms & set(w[i:i + size]))
+                if w[i] in terms and n >= 0.8 * len(terms):
+                    want.add((d, str(item), i, n))
+    got = [tuple(r) for r in decontaminate.proximity_matches(docs, items_, within=12, share=0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {i for _, i, _, _ in want} >= {"1", "2", "3"} and (100, "1") in {x[:2] for x in want}
+
+
 # ---------------------------------------------------------------- licenses
 
 def test_licenses(spark):
