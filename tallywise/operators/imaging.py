@@ -13,6 +13,8 @@ from tallywise.functions.scalars import half_even
 from tallywise.session import cut_lineage
 
 RGB = ("r", "g", "b")
+#: Rounds after which centres that still move are an error; the original stops there without one.
+MOST_ROUNDS = 300
 
 
 def color_counts(pixels: DataFrame) -> DataFrame:
@@ -66,12 +68,27 @@ def _moved(assigned: DataFrame, k: int) -> DataFrame:
     return per_image.select("image_id", centers.alias("centers"))
 
 
-def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
+def _settled(colors: DataFrame, centers: DataFrame, k: int) -> DataFrame:
+    """Rounds, each stored, until no centre of any image moves; an image whose centres stand still is left alone."""
+    at = cut_lineage(centers.withColumn("moves", F.lit(True)))
+    for _ in range(MOST_ROUNDS):
+        moving = at.where("moves").drop("moves")
+        moved = _moved(_assign(colors, moving, k), k).withColumnRenamed("centers", "new")
+        # Centres are compared after a round as they were before it: equal ones stay equal.
+        next_ = moving.join(moved, "image_id").select(
+            "image_id", F.col("new").alias("centers"), (F.col("new") != F.col("centers")).alias("moves"))
+        at = cut_lineage(at.where("NOT moves").unionByName(next_))
+        if at.where("moves").isEmpty():
+            return at.drop("moves")
+    raise RuntimeError(f"centres still move after {MOST_ROUNDS} rounds")
+
+
+def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int | None = None) -> tuple[DataFrame, DataFrame]:
     """K-means per image, all images at once: (centres, colours with their cluster).
 
-    Starts from the ``k`` most frequent colours. Each round is one join of the counted colours with
-    one row of centres per image and one aggregate; sums of whole numbers make the result the same
-    in every run.
+    Starts from the ``k`` most frequent colours and goes on until no centre moves, or for ``iterations``
+    rounds. Each round is one join of the counted colours with one row of centres per image and one
+    aggregate; sums of whole numbers make the result the same in every run.
     """
     colors = cut_lineage(color_counts(pixels))
     order = Window.partitionBy("image_id").orderBy(F.col("n").desc(), *RGB)
@@ -82,9 +99,12 @@ def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int = 10) -> tuple[
         colors.select("image_id", start.alias("s")).where(F.col("s.cluster") < k)
         .groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("centers"))
     )
-    for _ in range(iterations):
-        centers = _moved(_assign(colors, centers, k), k)
-    centers = cut_lineage(centers)
+    if iterations is None:
+        centers = _settled(colors, centers, k)
+    else:
+        for _ in range(iterations):
+            centers = _moved(_assign(colors, centers, k), k)
+        centers = cut_lineage(centers)
     flat = centers.select("image_id", F.explode("centers").alias("s")).select(
         "image_id", "s.cluster", *[F.col(f"s.{c}").alias(f"c{c}") for c in RGB])
     return flat, _assign(colors, centers, k).drop("centers")

@@ -646,6 +646,31 @@ def palette_strip(spark, sf):
     return imaging.palette_strip(*_palette(spark, sf))
 
 
+def _settled_palettes(spark, sf, of):
+    """``of(centres, shares)`` for palettes of 5, 3 and 1 colours, iterated until no centre moves."""
+    pixels = views.pixels(spark, sf)
+    made = []
+    for k in (5, 3, 1):
+        centers, assigned = imaging.kmeans_colors(pixels, k)
+        made.append(of(centers, imaging.cluster_share(assigned)).withColumn("k", F.lit(k)))
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query()
+def kmeans_palette_settled(spark, sf):
+    return _settled_palettes(spark, sf, lambda centers, shares: centers)
+
+
+@query()
+def cluster_share_settled(spark, sf):
+    return _settled_palettes(spark, sf, lambda centers, shares: shares)
+
+
+@query()
+def palette_strip_settled(spark, sf):
+    return _settled_palettes(spark, sf, imaging.palette_strip)
+
+
 @query()
 def decode_boxes(spark, sf):
     return detection.decode_boxes(views.cells(spark, sf))

@@ -136,6 +136,22 @@ def test_dominant_colors(spark, pixels):
     assert [r["end_px"] for r in imaging.even_palette(centers).where("image_id = 1").orderBy("cluster").collect()] == [100, 200, 300]
 
 
+def test_kmeans_settles(spark):
+    """A row of greys whose centres need more than ten rounds, beside an image of one colour."""
+    greys = [(1, v, v, v) for v in range(0, 250, 2) for _ in range(3 if v < 8 else 1)]
+    pixels = spark.createDataFrame([*greys, (2, 9, 9, 9)], "image_id long, r int, g int, b int")
+    colors = np.array([[r, g, b] for i, r, g, b in greys if i == 1], float)
+    settled, assigned = imaging.kmeans_colors(pixels, 3)
+    c = np.array([r[2:] for r in settled.where("image_id = 1").orderBy("cluster").collect()])
+    nearest = ((colors[:, None] - c) ** 2).sum(2).argmin(1)
+    assert np.allclose(c, [colors[nearest == j].mean(0) for j in range(3)], atol=1e-9)
+    early, _ = imaging.kmeans_colors(pixels, 3, 10)
+    e = np.array([r[2:] for r in early.where("image_id = 1").orderBy("cluster").collect()])
+    assert not np.allclose(c, e)
+    assert [tuple(r) for r in settled.where("image_id = 2").collect()] == [(2, 0, 9.0, 9.0, 9.0)]
+    assert assigned.agg({"n": "sum"}).first()[0] == len(greys) + 1
+
+
 def brute_nms(boxes, overlap):
     left, kept = sorted(boxes, key=lambda b: (-b[4], b[:4])), []
     while left:
