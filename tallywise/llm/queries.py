@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import (bpe, brown, covertree, decontaminate, jaccard, licenses, lines, pii, substrings,
+from tallywise.llm import (align, bpe, brown, covertree, decontaminate, jaccard, licenses, lines, pii, substrings,
                            toxicity)
 from tallywise.llm.common import remainder
 from tallywise.llm.oracle import ORACLE_SQL  # noqa: F401
@@ -128,3 +128,8 @@ def op9_pii(spark, sf_dir):
     return done.select("doc_id", F.size("pii_kinds").cast("long").alias("n_values"),
                        F.concat_ws(",", F.array_sort("pii_kinds")).alias("kinds"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op11_alignment(spark, sf_dir):
+    return align.digests(align.align(views.table(spark, sf_dir, "documents"), *align.tokenizers()))
