@@ -13,6 +13,7 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -27,23 +28,29 @@ from tallywise.llm.common import answer, ask, ask_buckets, mix, pack, pieces, ra
 #: Bits of the second id in the code of a pair of ids.
 LOW_BITS = 24
 #: Segments whose tokens a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Pieces that one composition of the tree puts together.
 FAN_IN = 8
 
 
 # ---------------------------------------------------------------- tokenizers
 
+#: Fixed value: how byte-level vocabularies split a text before they merge.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @dataclass(frozen=True)
 class ByteLevelBpe:
     """The JSON text of a byte-level BPE of the tokenizers library, which splits words off with the space before
-    them. Strings of special tokens in a text are plain text."""
+    them, and its number of ids. Strings of special tokens in a text are plain text."""
     model: str
-    #: It also cuts before a line break between two words.
-    cut_lines: bool = True
+    size: int
+    #: It splits a text by kinds of characters before it merges.
+    by_words: bool = True
 
     def load(self) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(self.model)
@@ -51,16 +58,31 @@ class ByteLevelBpe:
         shown = _shown_bytes()
         table = {i: bytes(shown[c] for c in p) if all(c in shown for c in p) else p.encode()
                  for p, i in t.get_vocab(with_added_tokens=True).items()}
-        return (lambda segments: [e.ids for e in t.encode_batch_fast(
-            [s.decode() for s in segments], add_special_tokens=False)]), table
+        special = {i for i, token in t.get_added_tokens_decoder().items() if token.special}
+        # The same merges, several times as fast. Both agree on what a letter is where scripts are long settled.
+        fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, special_tokens={},
+                                 mergeable_ranks={b: i for i, b in table.items() if i not in special})
+
+        def encode(segments: list[bytes]) -> list:
+            texts = [s.decode() for s in segments]
+            latin = [t.isascii() or max(t) < "\u0250" for t in texts]
+            one = fast.encode_ordinary
+            out = [one(t) if quick else None for t, quick in zip(texts, latin)]
+            other = [i for i, quick in enumerate(latin) if not quick]
+            for i, e in zip(other, t.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+                out[i] = e.ids
+            return out
+
+        return encode, table
 
 
 @dataclass(frozen=True)
 class PieceBpe:
     """The file of a sentencepiece BPE that adds a space, keeps all white space, and has no piece with a space
-    after another character."""
+    after another character; and its number of ids."""
     model: bytes
-    cut_lines: bool = False
+    size: int
+    by_words: bool = False
 
     def load(self) -> tuple:
         import sentencepiece
@@ -86,24 +108,38 @@ class _Encoder:
 
     def __init__(self, tokenizer):
         self.encode, table = tokenizer.load()
-        self.bytes = [table.get(i, b"") for i in range(max(table) + 1)]
-        self.length = np.array([len(b) for b in self.bytes], np.int64)
-        self.known: dict[bytes, list | None] = {}
+        self.bytes = pa.array([table.get(i, b"") for i in range(tokenizer.size)], pa.large_binary())
+        self.length = pc.binary_length(self.bytes).to_numpy(zero_copy_only=False).astype(np.int64)
+        #: A segment's ids as 32-bit numbers; None where their bytes are not the segment's.
+        self.known: dict[bytes, bytes | None] = {}
+
+    def _learn(self, segments: list[bytes]) -> None:
+        found = self.encode(segments)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(segments, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        said, whole = self.bytes.take(pa.array(ids)), b"".join(segments)
+        length = np.add.reduceat(np.append(self.length[ids], 0), np.cumsum(sizes) - sizes) * (sizes > 0)
+        if (length == np.fromiter(map(len, segments), np.int64, len(segments))).all() and said.buffers()[2] is not None \
+                and said.buffers()[2].to_pybytes()[:len(whole)] == whole:
+            return
+        each = self.bytes.to_pylist()
+        for s, x in zip(segments, found):
+            if b"".join([each[i] for i in x]) != s:
+                self.known[s] = None
 
     def ids(self, segments: list[bytes]) -> list:
-        """The ids of each segment; None where their bytes are not the segment's."""
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+        """The ids of each segment, as bytes."""
+        known = self.known
+        new = [s for s in segments if s not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
             new = segments
         for part in range(0, len(new), 20_000):
-            some = new[part:part + 20_000]
-            for s, ids in zip(some, self.encode(some)):
-                self.known[s] = ids if b"".join([self.bytes[i] for i in ids]) == s else None
-        out = [self.known[s] for s in segments]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return out
+            self._learn(new[part:part + 20_000])
+        return [known[s] for s in segments]
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``ids`` of the segments of ``data`` that begin at ``starts``, how many each has, and which ones fit."""
@@ -112,9 +148,11 @@ class _Encoder:
         coded = cut.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
         found = self.ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) if x else 0 for x in found], np.int64)
-        flat = np.fromiter(chain.from_iterable(x for x in found if x), np.int32, int(sizes.sum()))
-        fits = np.array([x is not None for x in found], bool)
+        fits = np.fromiter((x is not None for x in found), bool, len(found))
+        if not fits.all():
+            found = [x or b"" for x in found]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         n = sizes[codes]
         return flat[ragged((np.cumsum(sizes) - sizes)[codes], n)], n, fits[codes]
 
@@ -130,13 +168,14 @@ def _aligner(first, second) -> _Aligner:
     return _loaded[first, second]
 
 
-def cuts(data: np.ndarray, lines: bool) -> np.ndarray:
-    """Offsets of spaces (and line breaks, for ``lines``) between two characters that are no white space.
+def cuts(data: np.ndarray, words: bool) -> np.ndarray:
+    """Offsets over which no token goes, so that what lies between two of them is encoded by itself.
 
-    No token of either kind of tokenizer goes over such a cut, so what lies between two of them is encoded by
-    itself. A character that may begin white space counts as such on the right side of a cut.
+    Those are spaces between two characters that are no white space; for ``words``, which splits a text by kinds
+    of characters, line breaks between such characters too, and the marks after a plain letter. A character that
+    may begin white space counts as such on the right side of a cut.
     """
-    at = np.flatnonzero((data == 32) | (data == 10) if lines else data == 32)
+    at = np.flatnonzero((data == 32) | (data == 10) if words else data == 32)
     at = at[(at > 0) & (at < len(data) - 1)]
     x, after = data[at - 1], data[at + 1]
     y, z = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
@@ -146,7 +185,15 @@ def cuts(data: np.ndarray, lines: bool) -> np.ndarray:
                              | (y == 0x81) & (x == 0x9F))
             | (z == 0xE3) & (y == 0x80) & (x == 0x80))
     may_begin = (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3))
-    return at[(x > 32) & ~wide & (after > 32) & ~may_begin]
+    at = at[(x > 32) & ~wide & (after > 32) & ~may_begin]
+    if not words:
+        return at
+    mark = np.flatnonzero(_MARKS[data[1:]] & _PLAIN_LETTERS[data[:-1]]) + 1
+    return np.sort(np.concatenate((at, mark)))
+
+
+_MARKS, _PLAIN_LETTERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (
+    b",.;:!?", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 
 
 # ---------------------------------------------------------------- fragments
@@ -168,13 +215,20 @@ class Tokens:
     def cut(self, a_from, a_to, b_from, b_to) -> Tokens:
         return Tokens(self.a[a_from:a_to], self.a_end[a_from:a_to], self.b[b_from:b_to], self.b_end[b_from:b_to])
 
+    def marks(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The least offset, and which offsets from it on are ends of tokens of each kind."""
+        ends = [e for e in (self.a_end, self.b_end) if len(e)]
+        low = min((int(e[0]) for e in ends), default=0)
+        out = np.zeros((2, max((int(e[-1]) for e in ends), default=low) - low + 1), bool)
+        out[0][self.a_end - low] = True
+        out[1][self.b_end - low] = True
+        return low, out[0], out[1]
+
     def common(self) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``a`` and in ``b`` of the tokens that end together."""
-        if not len(self.a) or not len(self.b):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place = np.searchsorted(self.b_end, self.a_end)
-        hit = self.b_end[np.minimum(place, len(self.b) - 1)] == self.a_end
-        return np.flatnonzero(hit), place[hit]
+        _, a, b = self.marks()
+        both = np.flatnonzero(a & b)
+        return np.cumsum(a, dtype=np.int32)[both] - 1, np.cumsum(b, dtype=np.int32)[both] - 1
 
 
 class Written:
@@ -183,8 +237,11 @@ class Written:
 
     def __init__(self, n_a: int, n_b: int):
         self.n_a = n_a
-        self.table = pa.array([b"%d%s" % (i, s) for i in range(n_a) for s in (b",", b"|")]
-                              + [b"%d%s" % (i, s) for i in range(n_b) for s in (b",", b";")], pa.large_binary())
+        parts = []
+        for n, after in ((n_a, ",|"), (n_b, ",;")):
+            each = pa.array(np.repeat(np.arange(n), 2)).cast(pa.string())
+            parts.append(pc.binary_join_element_wise(each, pa.array(list(after) * n), "").cast(pa.large_binary()))
+        self.table = pa.concat_arrays(parts)
 
     def groups(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of tokens that end at a group's end: the groups' text, each group's end in it and its end in bytes."""
@@ -210,11 +267,17 @@ def links(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
     Between two neighbouring ends lies one token of each tokenizer, and two tokens share one such stretch at most.
     """
-    ends = np.concatenate((t.a_end, t.b_end))
-    ends.sort(kind="stable")
-    ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
-    a, b = t.a[np.searchsorted(t.a_end, ends)], t.b[np.searchsorted(t.b_end, ends)]
-    return (a.astype(np.int64) << LOW_BITS) | b, ends
+    low, a, b = t.marks()
+    ends = np.flatnonzero(a | b) if len(t.a) else np.empty(0, np.int64)
+    # The token that covers what lies before an end is the first one that ends there or later.
+    in_a, in_b = ((np.cumsum(m, dtype=np.int32) - m)[ends] for m in (a, b))
+    return (t.a[in_a].astype(np.int64) << LOW_BITS) | t.b[in_b], ends + low
+
+
+def distinct_of(x: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def tally(codes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -330,20 +393,25 @@ def _wide(x: list) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x[1], np.uint8).reshape(x[0], -1).T).view(f"<u{x[0]}").ravel().astype(np.int64)
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, and each code's number among them."""
+    values = pa.array(codes).dictionary_encode()
+    return values.dictionary.to_numpy(), values.indices.to_numpy().astype(np.int64)
+
+
 def _chunk(doc_ids: pa.Array, counts: np.ndarray, text: bytes, text_ends: np.ndarray, doc: np.ndarray,
-           codes: np.ndarray, times: np.ndarray) -> bytes:
+           distinct: np.ndarray, number: np.ndarray, times: np.ndarray) -> bytes:
     """Aligned documents: counts (tokens of each kind and groups), groups as text, and per document its pairs.
 
-    ``doc``, ``codes`` and ``times`` are in order of document and code. A pair is kept as its number among the
-    chunk's pairs, the frequent ones first.
+    ``doc``, ``number`` (of the pair among ``distinct``) and ``times`` are in order of document. A pair is kept
+    as its place among the chunk's pairs, the frequent ones first.
     """
-    distinct, where, often = np.unique(codes, return_inverse=True, return_counts=True)
+    often = np.bincount(number, minlength=len(distinct))
     order = np.argsort(-often, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    pair = rank[where]
-    again = np.lexsort((pair, doc))
-    doc, pair, times = doc[again], pair[again], times[again]
+    again = np.argsort(doc * max(1, len(order)) + rank[number], kind="stable")
+    doc, pair, times = doc[again], rank[number][again], times[again]
     first = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.empty(0, bool)
     steps = np.where(first, pair, np.diff(pair, prepend=0)) if len(doc) else pair
     return pack((doc_ids, counts, text, text_ends, distinct[order], often[order],
@@ -365,8 +433,11 @@ class _Aligner:
 
     def __init__(self, first, second):
         self.kinds = first, second
-        self.encoders = _Encoder(first), _Encoder(second)
-        self.written = Written(len(self.encoders[0].bytes), len(self.encoders[1].bytes))
+        self.written = Written(first.size, second.size)
+
+    @cached_property
+    def encoders(self) -> tuple[_Encoder, _Encoder]:
+        return _Encoder(self.kinds[0]), _Encoder(self.kinds[1])
 
     def documents(self, doc_ids: pa.Array, texts: pa.Array) -> bytes:
         """An aligned chunk of whole texts; their tokens are aligned in one go, as each text's end is a common end."""
@@ -374,7 +445,7 @@ class _Aligner:
         n = len(texts)
         fits, found = np.ones(n, bool), []
         for kind, encoder in zip(self.kinds, self.encoders):
-            begin = np.unique(np.concatenate((starts[:-1][np.diff(starts) > 0], self._within(data, starts, kind))))
+            begin = distinct_of(np.concatenate((starts[:-1][np.diff(starts) > 0], self._within(data, starts, kind))))
             ids, sizes, good = encoder.tokens(data, begin, len(data))
             owner = np.searchsorted(starts, begin, "right") - 1
             fits[owner[~good]] = False
@@ -388,23 +459,22 @@ class _Aligner:
         t = Tokens(*streams)
         ends = np.cumsum(lengths)
         text, group_text, group_end = self.written.groups(t)
-        group_doc = np.searchsorted(ends, group_end)
+        group_doc = np.repeat(np.arange(n), np.diff(np.searchsorted(group_end, ends, "right"), prepend=0))
         counts[:, 2] = np.bincount(group_doc, minlength=n)
         text_ends = np.zeros(n, np.int64)
         np.maximum.at(text_ends, group_doc, group_text)
         codes, at = links(t)
-        doc = np.searchsorted(ends, at)
+        doc = np.repeat(np.arange(n), np.diff(np.searchsorted(at, ends, "right"), prepend=0))
         # Codes are numbered so that a document and a code fit one number, which sorts fast.
-        distinct = np.unique(codes)
-        key = doc * max(1, len(distinct)) + np.searchsorted(distinct, codes)
-        key, times = tally(key)
+        distinct, number = _numbered(codes)
+        key, times = tally(doc * max(1, len(distinct)) + number)
         return _chunk(doc_ids, counts, text.tobytes(), np.maximum.accumulate(text_ends) if n else text_ends,
-                      key // max(1, len(distinct)), distinct[key % max(1, len(distinct))], times)
+                      key // max(1, len(distinct)), distinct, key % max(1, len(distinct)), times)
 
     @staticmethod
     def _within(data: np.ndarray, starts: np.ndarray, kind) -> np.ndarray:
         """Cuts inside texts: their neighbours on both sides belong to the same text."""
-        at = cuts(data, kind.cut_lines)
+        at = cuts(data, kind.by_words)
         owner = np.searchsorted(starts, at, "right") - 1
         return at[(at > starts[owner]) & (at + 1 < starts[owner + 1])]
 
@@ -417,7 +487,7 @@ class _Aligner:
         low = np.arange(0, len(data), piece)
         at = []
         for kind in self.kinds:
-            own = np.concatenate(([0], cuts(data, kind.cut_lines), [len(data)]))
+            own = np.concatenate(([0], cuts(data, kind.by_words), [len(data)]))
             at.append(np.append(own[np.searchsorted(own, low)], len(data)))
         out = []
         for k in range(len(low)):
@@ -435,7 +505,7 @@ class _Aligner:
             if low >= high:
                 streams += [np.empty(0, np.int32), np.empty(0, np.int64)]
                 continue
-            at = cuts(data, kind.cut_lines)
+            at = cuts(data, kind.by_words)
             ids, _, good = encoder.tokens(data, np.append(low, at[(at > low) & (at < high)]), high)
             if not good.all():
                 return Fragment(Tokens(), fits=False)
@@ -446,10 +516,10 @@ class _Aligner:
         done = Fragment.back(state).finished(self.written)
         text = b"".join(done.text)
         return _chunk(doc_id, np.array([[done.n_a, done.n_b, done.n_groups]]), text, np.array([len(text)]),
-                      np.zeros(len(done.codes), np.int64), done.codes, done.times)
+                      np.zeros(len(done.codes), np.int64), done.codes, np.arange(len(done.codes)), done.times)
 
 
-def aligned_chunks(docs: DataFrame, first, second, piece: int = 1 << 16, chunk: int = 4 << 20) -> DataFrame:
+def aligned_chunks(docs: DataFrame, first, second, piece: int = 1 << 16, chunk: int = 3 << 20) -> DataFrame:
     """Rows ``(chunk, payload)`` of aligned documents; see ``align``."""
     long_text = F.octet_length("text") > piece
     docs = docs.select("doc_id", "text")
@@ -613,10 +683,15 @@ def digests(aligned: DataFrame) -> DataFrame:
 def tokenizers(names: tuple[str, str] = ("byte_bpe_50k.json", "piece_bpe_32k.model")) -> tuple[ByteLevelBpe, PieceBpe]:
     """The two tokenizers from the public files, read on the driver."""
     import public_tokenizers
+    import sentencepiece
 
     with open(public_tokenizers.path(names[0]), encoding="utf-8") as f:
         text = f.read()
-    if json.loads(text)["pre_tokenizer"]["type"] != "ByteLevel":
-        raise ValueError(f"{names[0]} is not byte-level")
     with open(public_tokenizers.path(names[1]), "rb") as f:
-        return ByteLevelBpe(text), PieceBpe(f.read())
+        pieces_file = f.read()
+    parsed = json.loads(text)
+    if parsed["pre_tokenizer"]["type"] != "ByteLevel":
+        raise ValueError(f"{names[0]} is not byte-level")
+    ids = [*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"])]
+    size = sentencepiece.SentencePieceProcessor(model_proto=pieces_file).get_piece_size()
+    return ByteLevelBpe(text, max(ids) + 1), PieceBpe(pieces_file, size)
