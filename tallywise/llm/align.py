@@ -28,7 +28,7 @@ from tallywise.llm.common import answer, ask, ask_buckets, mix, pack, pieces, ra
 #: Bits of the second id in the code of a pair of ids.
 LOW_BITS = 24
 #: Segments whose tokens a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Pieces that one composition of the tree puts together.
 FAN_IN = 8
 
@@ -519,7 +519,7 @@ class _Aligner:
                       np.zeros(len(done.codes), np.int64), done.codes, np.arange(len(done.codes)), done.times)
 
 
-def aligned_chunks(docs: DataFrame, first, second, piece: int = 1 << 16, chunk: int = 3 << 20) -> DataFrame:
+def aligned_chunks(docs: DataFrame, first, second, piece: int = 1 << 16, chunk: int = 2 << 20) -> DataFrame:
     """Rows ``(chunk, payload)`` of aligned documents; see ``align``."""
     long_text = F.octet_length("text") > piece
     docs = docs.select("doc_id", "text")
