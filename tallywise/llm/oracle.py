@@ -72,7 +72,21 @@ m AS (SELECT u.*, (doc_id, i) IN (SELECT plc FROM gone) AS g FROM u)
 SELECT doc_id, count(*) FILTER (g) AS n_removed, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (g), '') AS removed_lines,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT g), '')) AS text_sha256 FROM m GROUP BY doc_id"""
 
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, a.label = b.label AS same, b.id AS id, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id,
+  row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id)::INT AS rank,
+  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) <= 10"""
+
 ORACLE_SQL = {
     "op2_jaccard_join": JACCARD, "op4_line_dedup": LINES, "op6_covertree": VECTORS, "op7_substrings": SUBSTRINGS,
-    "op8_decontamination": CONTAMINATION,
+    "op8_decontamination": CONTAMINATION, "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.llm import (align, bpe, brown, covertree, decontaminate, jaccard, licenses, lines, pii, substrings,
+from tallywise.llm import (align, bpe, brown, covertree, decontaminate, hardneg, jaccard, langid, licenses, lines, pii, substrings,
                            toxicity)
 from tallywise.llm.common import remainder
 from tallywise.llm.oracle import ORACLE_SQL  # noqa: F401
@@ -133,3 +133,17 @@ def op9_pii(spark, sf_dir):
 @query
 def op11_alignment(spark, sf_dir):
     return align.digests(align.align(views.table(spark, sf_dir, "documents"), *align.tokenizers()))
+
+
+@query
+def op12_language(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, langid.fit(docs.where(remainder("doc_id", 4) != 2)))
+    return predicted.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    vectors = views.table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", moved))
