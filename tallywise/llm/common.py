@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,12 @@ from pyspark.sql import functions as F
 
 from tallywise.session import cut_lineage
 
+def own_names(*names: str) -> list[str]:
+    """Column names that no table has, for what an operator adds on its way."""
+    mark = uuid.uuid4().hex[:12]
+    return [f"{n}_{mark}" for n in names]
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_SCHEMA = "chunk long, payload binary"
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import LOWER, UPPER
+from tallywise.llm.common import LOWER, UPPER, own_names
 from tallywise.session import cut_lineage
 
 #: Words are runs of anything but ASCII signs, blanks and controls.
@@ -64,9 +64,10 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
             .join(terms, "term").select("term", "doc", "position"))
 
 
-def candidates(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def candidates(docs: DataFrame, items: DataFrame, window: int, frequency: DataFrame | None = None) -> DataFrame:
     """``item, doc, offset``: where both anchors of a window lie as far apart as in the item."""
-    anchor = stored_anchors(docs, items, window)
+    frequency = item_frequencies(docs, items) if frequency is None else frequency
+    anchor = cut_lineage(anchors(items, frequency, window))
     terms = anchor.select("term").union(anchor.select(F.col("term2").alias("term"))).distinct()
     index = cut_lineage(postings(docs, cut_lineage(terms)))
     rarest = anchor.join(index, "term").select("item", "doc", "term2", "first", "second",
@@ -76,10 +77,11 @@ def candidates(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return rarest.join(second, ["term2", "doc", "position"], "left_semi").select("item", "doc", "offset").distinct()
 
 
-def stored_anchors(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def item_frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``term, frequency`` of the items' terms, stored."""
     # Stored, so that the join over all words knows the size of the terms before it runs.
     terms = cut_lineage(items.select(F.explode("words").alias("term")).distinct())
-    return cut_lineage(anchors(items, cut_lineage(frequencies(docs, terms)), window))
+    return cut_lineage(frequencies(docs, terms))
 
 
 def _spans(words_: Column, found: Column, window: int) -> Column:
@@ -127,71 +129,89 @@ def _least_terms(n: Column, share: float) -> Column:
     return F.greatest(F.ceil(F.lit(share) * n), F.lit(1)).cast("int")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 30, share: float = 0.8,
-                      window: int = 13) -> DataFrame:
+def proximity_candidates(docs: DataFrame, items: DataFrame, share: float, frequency: DataFrame | None = None) -> DataFrame:
+    """``item, doc``: documents that hold one of an item's rarest terms, one more than may be missing."""
+    frequency = item_frequencies(docs, items) if frequency is None else frequency
+    anchor = cut_lineage(proximity_anchors(items, frequency, share))
+    holds = docs.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    holds = holds.join(cut_lineage(anchor.select("term").distinct()), "term")
+    return anchor.join(cut_lineage(holds), "term").select("item", "doc").distinct()
+
+
+def _places(words_: Column, near: Column, within: int, share: float) -> Column:
+    """The places ``(item_id, position, terms)`` of each ``(item_id, n, terms_of)`` in ``near``, in order."""
+    def of(c: Column) -> Column:
+        least = _least_terms(F.size(c["terms_of"]), share)
+        size = F.greatest(F.lit(within), c["n"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(words_) - 1), lambda i: F.array_contains(c["terms_of"], F.get(words_, i)))
+        found = F.filter(F.transform(starts, lambda i: F.struct(
+            c["item_id"].alias("item_id"), i.alias("position"),
+            F.size(F.array_intersect(F.slice(words_, i + 1, size), c["terms_of"])).alias("terms"))), lambda x: x["terms"] >= least)
+        # A document without enough of the terms anywhere goes before its places are looked at.
+        return F.when(F.size(F.array_intersect(words_, c["terms_of"])) >= least, found).otherwise(
+            F.array().cast("array<struct<item_id:string,position:int,terms:int>>"))
+
+    return F.array_sort(F.flatten(F.transform(near, of)))
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, within: int = 30, share: float = 0.8) -> DataFrame:
     """``doc, item_id, position, terms``: places from which on ``share`` of an item's terms stand within ``within`` words.
 
     Places are those of a term of the item; ``terms`` counts the item's distinct terms among the ``within`` words
-    from there on, or among as many as the item has if those are more. A document that lacks each of the item's
-    rarest terms, one more than may be missing, has no such place. ``window`` is not used. Other columns of
-    ``docs(doc, text, ...)`` are kept.
+    from there on, or among as many as the item has if those are more. ``docs(doc, text)`` with ``doc`` unique.
     """
-    all_terms = cut_lineage(items.select(F.explode("words").alias("term")).distinct())
-    anchor = cut_lineage(proximity_anchors(items, cut_lineage(frequencies(docs, all_terms)), share))
-    holds = docs.select("doc", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    holds = holds.join(cut_lineage(anchor.select("term").distinct()), "term")
-    pairs = anchor.join(cut_lineage(holds), "term").select("item", "doc").distinct()
+    per_doc = _near_items(proximity_candidates(docs, items, share), items)
+    found = docs.join(per_doc, "doc").select("doc", words(F.col("text")).alias("words"), "near")
+    return found.select("doc", F.explode(_places(F.col("words"), F.col("near"), within, share)).alias("p")).select("doc", "p.*")
+
+
+def _near_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
     terms_of = items.select("item", "item_id", "n", F.array_distinct("words").alias("terms_of"))
-    per_doc = pairs.join(terms_of, "item").groupBy("doc").agg(
-        F.collect_list(F.struct("item_id", "n", "terms_of")).alias("c"))
-    found = docs.join(per_doc, "doc").withColumn("words", words(F.col("text")))
-    least = lambda c: _least_terms(F.size(c["terms_of"]), share)
-    # A document without enough of the terms anywhere goes before its places are looked at.
-    found = found.withColumn("c", F.explode(F.filter(
-        "c", lambda c: F.size(F.array_intersect(F.col("words"), c["terms_of"])) >= least(c))))
-    size = F.greatest(F.lit(within), F.col("c.n"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1),
-                      lambda i: F.array_contains(F.col("c.terms_of"), F.get("words", i)))
-    places = F.filter(F.transform(starts, lambda i: F.struct(i.alias("position"), F.size(F.array_intersect(
-        F.slice("words", i + 1, size), F.col("c.terms_of"))).alias("terms"))),
-        lambda x: x["terms"] >= least(F.col("c")))
-    kept = [c for c in docs.columns if c not in ("doc", "text")]
-    return found.select("doc", *kept, F.col("c.item_id").alias("item_id"), F.explode(places).alias("p")).select(
-        "doc", *kept, "item_id", "p.position", "p.terms")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05) -> DataFrame:
+    return pairs.join(terms_of, "item").groupBy("doc").agg(F.collect_list(F.struct("item_id", "n", "terms_of")).alias("near"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: float = 0.05,
+                  near: tuple[int, float] | None = None) -> DataFrame:
     """Each row of ``docs(doc_id, text, ...)`` with what it shares with ``items(item_id, text, ...)``.
 
     Adds ``n_words``, ``hits`` (spans of words ``item_id, start, end`` that hold a window of the item word for
     word), ``n_hit`` (words in any of them), ``item_ids`` (of the items in ``hits``, as sorted strings) and
     ``contaminated``: at least one of its words is hit and at least ``share`` of them. A window is ``window``
-    consecutive words of an item, or the whole of a shorter one. A null text has no words, an item without
-    words no window; an item with a null item_id hits words but is in no list. Repeated rows give equal
-    results. Columns of ``docs`` with the added names are replaced.
+    consecutive words of an item, or the whole of a shorter one. With ``near``, words and a share, ``near_hits``
+    are the places of ``proximity_matches``, ``(item_id, position, terms)`` in order. A null text has no words, an
+    item without words no window; an item with a null item_id hits words but is in no list. Repeated rows give
+    equal results. Columns of ``docs`` with the added names are replaced.
     """
-    docs = docs.drop("n_words", "n_hit", "hits", "item_ids", "contaminated", "_doc", "_found")
+    docs = docs.drop("n_words", "n_hit", "hits", "item_ids", "contaminated", *["near_hits"] * (near is not None))
+    doc, split, found, close = own_names("doc", "words", "found", "close")
     # Rows that share this hash share their candidates; the words are compared in each row.
-    keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    texts = keyed.select(F.col("_doc").alias("doc"), "text")
-    rows = item_words(items)
-    placed = candidates(texts, rows, window).join(rows, "item")
-    found = placed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(
-        F.struct("item_id", "offset", "n", F.col("words").alias("w"))).alias("_found"))
-    joined = keyed.join(found, "_doc", "left")
-    split = joined.withColumn("_words", words(F.col("text")))
+    keyed = docs.withColumn(doc, F.xxhash64("doc_id", "text"))
+    texts, rows = keyed.select(F.col(doc).alias("doc"), "text"), item_words(items)
+    frequency = item_frequencies(texts, rows)
+    per_doc = candidates(texts, rows, window, frequency).join(rows, "item").groupBy("doc").agg(
+        F.collect_list(F.struct("item_id", "offset", "n", F.col("words").alias("w"))).alias(found))
+    if near is not None:
+        close_to = _near_items(proximity_candidates(texts, rows, near[1], frequency), rows)
+        per_doc = per_doc.join(close_to.withColumnRenamed("near", close), "doc", "full_outer")
+    out = keyed.join(per_doc.withColumnRenamed("doc", doc), doc, "left").withColumn(split, words(F.col("text")))
     none = F.array().cast("array<struct<item_id:string,start:int,end:int>>")
-    hits = F.coalesce(_spans(F.col("_words"), F.col("_found"), window), none)
-    out = split.withColumn("n_words", F.size("_words").cast("long")).withColumn("hits", hits)
+    hits = F.coalesce(_spans(F.col(split), F.col(found), window), none)
+    out = out.withColumn("n_words", F.size(split).cast("long")).withColumn("hits", hits)
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["end"] - 1))))
     out = out.withColumn("n_hit", F.size(covered).cast("long"))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     out = out.withColumn("item_ids", F.filter(ids, lambda i: i.isNotNull()))
-    return (out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
-            .drop("_doc", "_found", "_words"))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
+    if near is not None:
+        places = _places(F.col(split), F.col(close), *near)
+        out = out.withColumn("near_hits", F.coalesce(places, F.array().cast("array<struct<item_id:string,position:int,terms:int>>")))
+    return out.drop(doc, split, found, close)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Counts, and the SHA-256 of the comma-joined item ids."""
+    """Counts, the SHA-256 of the comma-joined item ids, and number and SHA-256 of the places of ``near_hits``."""
+    written = F.transform("near_hits", lambda p: F.concat_ws(":", p["item_id"], p["position"].cast("string"), p["terms"].cast("string")))
     return docs.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
-                       F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated")
+                       F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), "contaminated",
+                       F.size("near_hits").cast("long").alias("n_near"),
+                       F.sha2(F.concat_ws(",", F.array_sort(written)).cast("binary"), 256).alias("near_sha256"))

@@ -14,11 +14,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.llm.common import own_names
 from tallywise.session import cut_lineage, scratch_path
 
 #: A line's place: doc_id, then line number, as one number; a null doc_id comes first.
 LOWEST = -2**63
 PLACE = "decimal(38,0)"
+#: Words that running values are worked out for at a time.
+BLOCK = 256
 
 
 def _place(doc_id: Column, line: Column) -> Column:
@@ -35,18 +38,36 @@ def _halves(words: Column) -> Column:
     return F.array_distinct(F.array(*made))
 
 
-def _scan(words: Column, at) -> Column:
-    """Running exclusive-or of ``at(i, word)``: entry ``i`` covers the words before ``i``."""
-    first = F.array(F.lit(0).cast("long"))
-    return F.aggregate(words, first, lambda a, w: F.array_append(a, F.element_at(a, -1).bitwiseXOR(
-        F.xxhash64(w, F.size(a) - 1 + at))))
+def _running(values: Column) -> Column:
+    """Running exclusive-or of some values: entry ``i`` covers those before ``i``, one entry more than values."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")),
+                       lambda a, x: F.array_append(a, F.element_at(a, -1).bitwiseXOR(x)))
+
+
+def _with_running(lines: DataFrame, name: str, shift: int) -> DataFrame:
+    """``lines(words, ...)`` with the running exclusive-or of the words' hashes at their places plus ``shift``.
+
+    Blocks are added up for themselves and moved by what comes before them, as appending copies an array: a line
+    of a million words takes some four thousand blocks.
+    """
+    blocks, before = own_names("blocks", "before")
+    hashed = F.transform("words", lambda w, i: F.xxhash64(w, i + shift))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("words") / BLOCK).cast("int") - 1))
+    made = lines.withColumn(name, hashed)
+    # Two references keep the hashes from being worked out again for each block.
+    made = made.withColumn(blocks, F.when(F.size(name) > 0, F.transform(
+        starts, lambda b: _running(F.slice(F.col(name), b * BLOCK + 1, BLOCK)))).otherwise(F.array(F.array(F.lit(0).cast("long")))))
+    made = made.withColumn(before, _running(F.transform(blocks, lambda s: F.element_at(s, -1))))
+    parts = F.transform(F.filter(F.arrays_zip(F.col(blocks).alias("s"), F.col(before).alias("o")), lambda z: z["s"].isNotNull()),
+                        lambda z: F.transform(F.slice(z["s"], F.lit(1), F.size(z["s"]) - 1), lambda x: x.bitwiseXOR(z["o"])))
+    whole = F.concat(F.flatten(parts), F.array(F.element_at(before, -1)))
+    return made.withColumn(name, whole).drop(blocks, before)
 
 
 def variants(lines: DataFrame) -> DataFrame:
     """``place, v, p`` of ``lines(place, words)``: without word ``p``, or for ``p`` = -1 whole; a hash of the words."""
     n = F.size("words")
-    made = lines.select("place", "words", _scan(F.col("words"), 0).alias("before"),
-                        _scan(F.col("words"), -1).alias("moved"))
+    made = _with_running(_with_running(lines.select("place", "words"), "before", 0), "moved", -1)
     without = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(
         F.get("before", p).bitwiseXOR(F.get("moved", n)).bitwiseXOR(F.get("moved", p + 1)).alias("v"), p.alias("p")))
     whole = F.array(F.struct(F.get("before", n).alias("v"), F.lit(-1).alias("p")))
@@ -64,31 +85,32 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return front + back >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def repeated_lines(texts: DataFrame, least_words: int = 5, short_copies: bool = False) -> DataFrame:
-    """``row, lines``: the numbers of the lines to remove from each row of ``texts(row, doc_id, text)``.
+def repeated_lines(texts: DataFrame, least_words: int = 5) -> DataFrame:
+    """``row, lines``: per ``row`` the ``(tie, line)`` to remove from ``texts(row, tie, doc_id, text)``.
 
-    ``row`` is a hash partitioning key of ``texts``; rows that share one have the same doc_id and text.
+    ``row`` and ``tie`` are hashes of a row, and ``texts`` is partitioned by the first; rows that share both have
+    the same doc_id and text.
     """
-    split = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    split = split.withColumn("words", F.split("content", " "))
-    compared = F.size("words") >= least_words
-    split = split.where(F.col("content") != "") if short_copies else split.where(compared)
-    lines = cut_lineage(split.select("row", _place(F.col("doc_id"), F.col("line")).alias("place"), "line",
+    split = texts.select("row", "tie", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    split = split.where(F.col("content") != "").withColumn("words", F.split("content", " "))
+    lines = cut_lineage(split.select("row", "tie", _place(F.col("doc_id"), F.col("line")).alias("place"), "line",
                                      F.xxhash64("words").alias("h"), F.hash("words").alias("g"),
                                      # Of short lines only exact copies count: they have no halves to share.
-                                     F.when(compared, _halves(F.col("words"))).alias("halves")))
+                                     F.when(F.size("words") >= least_words, _halves(F.col("words"))).alias("halves")))
     first = lines.groupBy("h", "g").agg(F.min("place").alias("first"))
-    copies = lines.select("row", "line", "place", "h", "g").join(first, ["h", "g"]).where("place > first")
+    copies = lines.select("row", "tie", "line", "place", "h", "g").join(first, ["h", "g"]).where("place > first")
     halves = lines.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     near = halves.join(shared.select("half"), "half", "left_semi").select("h").distinct()
-    some = cut_lineage(lines.select("row", "line", "place", "h", "g").join(near, "h", "left_semi")
-                       .join(first, ["h", "g"]).where("place = first").select("row", "line", "place", "h", "g"))
-    wanted = some.groupBy("row").agg(F.collect_set(F.struct("line", "place", "h")).alias("wanted"))
-    candidates = cut_lineage(
-        texts.select("row", "text").join(wanted, "row").select("row", F.split("text", "\n", -1).alias("all"),
-                                                               F.explode("wanted").alias("w"))
-        .select("row", "w.*", F.split(F.get("all", F.col("w.line")), " ").alias("words")))
+    some = cut_lineage(lines.select("row", "tie", "line", "place", "h", "g").join(near, "h", "left_semi")
+                       .join(first, ["h", "g"]).where("place = first").select("row", "tie", "line", "place", "h", "g"))
+    wanted = some.groupBy("row").agg(F.collect_set(F.struct("tie", "line", "place", "h")).alias("wanted"))
+    # The lines are split below the join, so that each wanted one is taken from the array by its number.
+    own = texts.select("row", F.col("tie").alias("own"), F.split("text", "\n", -1).alias("all")).join(wanted, "row")
+    candidates = cut_lineage(own.select("row", F.explode(F.transform(
+        F.filter("wanted", lambda w: w["tie"] == F.col("own")), lambda w: F.struct(
+            w["tie"].alias("tie"), w["line"].alias("line"), w["place"].alias("place"), w["h"].alias("h"),
+            F.split(F.get("all", w["line"]), " ").alias("words")))).alias("w")).select("row", "w.*"))
     made = cut_lineage(variants(candidates.select("place", "words")))
     # Changed words: lines without the same place are alike. Added words: a whole line equals another's variant.
     lead = made.groupBy("v", "p").agg(F.min("place").alias("lead"), F.count(F.lit(1)).alias("k"))
@@ -98,39 +120,50 @@ def repeated_lines(texts: DataFrame, least_words: int = 5, short_copies: bool =
     added = pairs.select(F.greatest("place", "whole").alias("place"), F.least("place", "whole").alias("lead"))
     found = changed.select("place", "lead").union(added).where("lead < place")
     earliest = found.groupBy("place").agg(F.min("lead").alias("lead"))
-    mine = candidates.select("row", "line", "place", "words")
+    mine = candidates.select("row", "tie", "line", "place", "words")
     other = candidates.select(F.col("place").alias("lead"), F.col("words").alias("others"))
     alike = earliest.join(mine, "place").join(other, "lead").where(within_one_edit(F.col("words"), F.col("others")))
     # All copies of a line go if an earlier line is like it; those of its own are in `copies` already.
-    removed = copies.select("row", "line").union(alike.select("row", "line"))
-    return removed.groupBy("row").agg(F.collect_set("line").alias("lines"))
+    removed = copies.select("row", "tie", "line").union(alike.select("row", "tie", "line"))
+    return removed.groupBy("row").agg(F.collect_set(F.struct("tie", "line")).alias("lines"))
+
+
+def _without(lines: Column, numbers: Column) -> Column:
+    """An array without the entries at some numbers, in order; in one pass over each."""
+    gaps = F.transform(numbers, lambda x, k: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get(numbers, k - 1), F.lit(-1)) - 1),
+                                                      F.lit("1")))
+    marks = F.split(F.array_join(gaps, ""), "")
+    both = F.arrays_zip(lines.alias("x"), marks.alias("m"))
+    kept = F.filter(both, lambda z: z["x"].isNotNull() & F.coalesce(z["m"] != "1", F.lit(True)))
+    return F.transform(kept, lambda z: z["x"])
 
 
-def dedup(docs: DataFrame, least_words: int = 5, short_copies: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = 5) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` with ``text`` less its repeated lines, and ``removed_lines``.
 
-    Lines end at a line feed, words at a blank. A line of ``least_words`` words or more is removed if an
-    earlier line, removed or not, differs from it by one added, missing or changed word at most; earlier is
-    in a document with a smaller doc_id (null first), or further up in the same one. Shorter lines stay;
-    with ``short_copies`` they go too if an earlier line equals them, and only empty lines always stay.
-    ``removed_lines`` are the numbers of the removed lines, from 0. The other lines keep their order; a text
-    without removed lines is unchanged, a null one stays null. Rows that share a doc_id count as one document:
-    equal lines with the same number in both are earlier in neither. Repeated rows give equal results; other
-    columns are kept, a column named removed_lines is replaced.
+    Lines end at a line feed, words at a blank. A line that is not empty is removed if an earlier line, removed
+    or not, equals it, or if both have ``least_words`` words or more and differ by one added, missing or changed
+    word; earlier is in a document with a smaller doc_id (null first), or further up in the same one. Empty lines
+    stay. ``removed_lines`` are the numbers of the removed lines, from 0. The other lines keep their order; a
+    text without removed lines is unchanged, a null one stays null. Rows that share a doc_id count as one
+    document: equal lines with the same number in both are earlier in neither. Repeated rows give equal results;
+    doc_id is a whole number; other columns are kept, a column named removed_lines is replaced.
     """
     spark = docs.sparkSession
+    row, tie, found, numbers = own_names("row", "tie", "found", "numbers")
     names = [c for c in docs.columns if c != "removed_lines"]
-    made = docs.select(*names, F.xxhash64("doc_id", "text").alias("_row"))
+    made = docs.select(*names, F.xxhash64("doc_id", "text").alias(row), F.xxhash64("text", F.lit(7), "doc_id").alias(tie))
     # Written in buckets by row, so that the two joins below move no text.
     name = f"lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.write.bucketBy(buckets, "_row").option("path", scratch_path(spark, "lines")).saveAsTable(name)
+    made.write.bucketBy(buckets, row).option("path", scratch_path(spark, "lines")).saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files are external, and `stored` knows them
-    lines = repeated_lines(stored.select(F.col("_row").alias("row"), "doc_id", "text"), least_words,
-                           short_copies)
-    joined = stored.join(lines.withColumnRenamed("row", "_row").withColumnRenamed("lines", "_lines"), "_row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    text = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names],
-                         F.array_sort(F.coalesce("_lines", F.array().cast("array<int>"))).alias("removed_lines"))
+    lines = repeated_lines(stored.select(F.col(row).alias("row"), F.col(tie).alias("tie"), "doc_id", "text"), least_words)
+    joined = stored.join(lines.withColumnRenamed("row", row).withColumnRenamed("lines", found), row, "left")
+    own = F.transform(F.filter(F.coalesce(found, F.array().cast("array<struct<tie:bigint,line:int>>")),
+                               lambda x: x["tie"] == F.col(tie)), lambda x: x["line"])
+    joined = joined.withColumn(numbers, F.array_sort(own))
+    kept = F.array_join(_without(F.split("text", "\n", -1), F.col(numbers)), "\n")
+    text = F.when(F.size(numbers) == 0, F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.col(numbers).alias("removed_lines"))

@@ -53,18 +53,32 @@ hit AS (SELECT doc_id, p, n, item_id FROM dk JOIN bk USING (n, k)),
 cov AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+bt AS (SELECT row_number() OVER () AS item, item_id, greatest(30, len(w)) AS size, list_distinct(w) AS terms
+  FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
+bw AS (SELECT item, unnest(terms) AS t FROM bt),
+dw AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS q FROM d),
+occ AS (SELECT doc_id, item, q, t FROM dw JOIN bw USING (t)),
+enough AS (SELECT doc_id, item, item_id, size, greatest(ceil(0.8 * len(terms)), 1) AS least
+  FROM (SELECT doc_id, item, count(DISTINCT t) AS k FROM occ GROUP BY ALL) JOIN bt USING (item) WHERE k >= ceil(0.8 * len(terms))),
+near AS (SELECT doc_id, item_id, a.q, count(DISTINCT o.t) AS k FROM enough JOIN occ a USING (doc_id, item) JOIN occ o USING (doc_id, item)
+  WHERE o.q BETWEEN a.q AND a.q + size - 1 GROUP BY doc_id, item, item_id, a.q, least HAVING count(DISTINCT o.t) >= least),
+close AS (SELECT doc_id, count(*) AS n_near, string_agg(x, ',' ORDER BY x) AS x
+  FROM (SELECT doc_id, concat_ws(':', item_id, q, k) AS x FROM near) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(x, '')) AS near_sha256
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN close USING (doc_id)"""
 
 LINES = """WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
 u AS (SELECT doc_id, unnest(a) AS l, unnest(range(len(a))) AS i FROM t),
-x AS (SELECT doc_id, i, (doc_id, i) AS plc, string_split(l, ' ') AS w FROM u WHERE len(string_split(l, ' ')) >= 5),
+y AS (SELECT (doc_id, i) AS plc, l, string_split(l, ' ') AS w FROM u WHERE l <> ''),
+copied AS (SELECT l, min(plc) AS lo FROM y GROUP BY l),
+x AS (SELECT plc, w FROM y WHERE len(w) >= 5),
 v AS (SELECT plc, p, list_concat(w[1:p], w[p + 2:len(w)]) AS v FROM (SELECT plc, w, unnest(range(len(w))) AS p FROM x)),
 whole AS (SELECT w AS v, min(plc) AS lo FROM x GROUP BY w),
 part AS (SELECT v, p, min(plc) AS lo FROM v GROUP BY v, p),
 any_part AS (SELECT v, min(plc) AS lo FROM v GROUP BY v),
-gone AS (SELECT x.plc FROM x JOIN whole ON whole.v = x.w AND whole.lo < x.plc
+gone AS (SELECT y.plc FROM y JOIN copied USING (l) WHERE lo < y.plc
   UNION SELECT v.plc FROM v JOIN part ON part.v = v.v AND part.p = v.p AND part.lo < v.plc
   UNION SELECT v.plc FROM v JOIN whole ON whole.v = v.v AND whole.lo < v.plc
   UNION SELECT x.plc FROM x JOIN any_part a ON a.v = x.w AND a.lo < x.plc),

@@ -64,16 +64,8 @@ def op10_toxicity(spark, sf_dir):
 @query
 def op8_decontamination(spark, sf_dir):
     return decontaminate.digests(decontaminate.contamination(
-        views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20))
-
-
-@query
-def op8_proximity(spark, sf_dir):
-    """Per document and item the places where 0.8 of the item's terms stand close together."""
-    docs = views.table(spark, sf_dir, "documents").select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
-    items = decontaminate.item_words(views.table(spark, sf_dir, "benchmark"))
-    found = decontaminate.proximity_matches(docs, items, within=30, share=0.8)
-    return found.select("doc_id", "item_id", "position", "terms")
+        views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20,
+        near=(30, 0.8)))
 
 
 @query
@@ -98,12 +90,6 @@ def op4_line_dedup(spark, sf_dir):
     return _line_digests(lines.dedup(views.table(spark, sf_dir, "documents"), least_words=5))
 
 
-@query
-def op4_line_dedup_all_copies(spark, sf_dir):
-    """As ``op4_line_dedup``, and exact copies of lines of any length go too; empty lines stay."""
-    return _line_digests(lines.dedup(views.table(spark, sf_dir, "documents"), least_words=5, short_copies=True))
-
-
 def _line_digests(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"),
                           F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed_lines"),

@@ -107,13 +107,13 @@ def within_one(a, b):
 
 
 def removed_lines(rows, least=5):
-    """``[(doc_id, [line numbers])]``."""
+    """``[(doc_id, [line numbers])]``: copies of lines of any length, and one-word edits from ``least`` words on."""
     place = lambda d, i: (d is not None, d or 0, i)
     lines = [(r, place(d, i), tuple(x.split(" "))) for r, (d, t) in enumerate(rows) if t is not None
-             for i, x in enumerate(t.split("\n")) if len(x.split(" ")) >= least]
+             for i, x in enumerate(t.split("\n")) if x]
     gone = defaultdict(list)
     for r, at, w in lines:
-        if any(other < at and within_one(v, w) for _, other, v in lines):
+        if any(other < at and (v == w or min(len(v), len(w)) >= least and within_one(v, w)) for _, other, v in lines):
             gone[r].append(at[2])
     return [(d, gone[r]) for r, (d, _) in enumerate(rows)]
 

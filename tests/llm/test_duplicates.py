@@ -102,20 +102,42 @@ def test_lines_one_edit_apart(spark):
 
 def test_lines_copies_of_any_length(spark, docs, corpus):
     extra = [(70, "Les.\n\n\nLes.\n\u6f22\u5b57\na\tb\tc\n "), (71, "Les\nLes.\n\u6f22\u5b57\na\tb\tc\n "),
-             (None, "Les.\nLes."), (71, "one two three four five\none two three four six")]
+             (None, "Les.\nLes."), (71, "one two three four five\none two three four six"),
+             (72, "one two three four\none two three five\none two three four")]
     rows = [*corpus, *extra]
-    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), short_copies=True).collect()
-    # A brute force without a minimum for copies; the one-word edit alone has it.
-    place = lambda d, i: (d is not None, d or 0, i)
-    first = {}
-    for d, t in rows:
-        for i, x in enumerate((t or "").split("\n")):
-            first[x] = min(first.get(x, place(d, i)), place(d, i))
-    want = []
-    for (d, t), (_, edited) in zip(rows, brute.removed_lines(rows)):
-        copies = {i for i, x in enumerate((t or "").split("\n")) if x and first[x] < place(d, i)}
-        want.append((d, sorted(copies | set(edited))))
-    assert ordered((r.doc_id, r.removed_lines) for r in out) == ordered(want)
+    out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert ordered((r.doc_id, r.removed_lines) for r in out) == ordered(brute.removed_lines(rows))
+    for r in out:
+        if r.text is not None and r.doc_id == 71:
+            assert r.text in ("Les\n", "Les", "one two three four five", "")
+
+
+def test_lines_of_a_million_words(spark):
+    """A line of a million words, its copy, and edits of it at either end and in the middle."""
+    w = [f"w{i % 9973}" for i in range(1_000_000)]
+    edit = lambda i, *new: " ".join([*w[:i], *new, *w[i + 1:]])
+    rows = [(1, " ".join(w)), (2, edit(0, "x")), (3, edit(500_000)), (4, edit(999_999, w[-1], "y")), (5, edit(300_000, "x", "y", "z")),
+            (6, "short\n" + " ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed_lines for r in lines.dedup(df).select("doc_id", "removed_lines").collect()}
+    assert got == {1: [], 2: [0], 3: [0], 4: [0], 5: [], 6: [1]}
+
+
+def test_many_lines_in_one_text(spark):
+    text = "\n".join(f"line {i % 20_000} of many" for i in range(60_000))
+    out = lines.dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert out.text == "\n".join(f"line {i} of many" for i in range(20_000))
+    assert out.removed_lines == list(range(20_000, 60_000))
+
+
+def test_lines_with_names_of_their_own(spark, corpus):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    names = ("row", "tie", "line", "lines", "place", "words", "h", "g", "_row", "_lines", "lead", "found", "numbers", "own", "all")
+    out = lines.dedup(df.select("*", *(F.lit(n).alias(n) for n in names)))
+    assert out.columns == ["doc_id", "text", *names, "removed_lines"]
+    rows = out.collect()
+    assert ordered((r.doc_id, r.removed_lines) for r in rows) == ordered(brute.removed_lines(corpus))
+    assert all(r[n] == n for r in rows for n in names)
 
 
 def test_lines_of_nothing(no_docs):

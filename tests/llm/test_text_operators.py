@@ -130,9 +130,9 @@ def test_phrases_and_proximity(spark):
                                  "doc long, text string")
     item = decontaminate.item_words(spark.createDataFrame([(9, "a b c d e")], "item_id long, text string"))
     assert [tuple(r) for r in decontaminate.phrase_matches(docs, item, 4).collect()] == [(1, "9", 1, 6)]
-    near = decontaminate.proximity_matches(docs, item, within=20, share=1.0, window=4).collect()
+    near = decontaminate.proximity_matches(docs, item, within=20, share=1.0).collect()
     assert {r.doc for r in near} == {1, 2, 3}
-    near = decontaminate.proximity_matches(docs, item, within=5, share=1.0, window=4).collect()
+    near = decontaminate.proximity_matches(docs, item, within=5, share=1.0).collect()
     assert {r.doc for r in near} <= {1, 2}
 
 
@@ -156,6 +156,17 @@ def test_proximity_with_missing_terms(spark):
                     want.add((d, str(item), i, n))
     got = [tuple(r) for r in decontaminate.proximity_matches(docs, items_, within=12, share=0.8).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    # The same places beside the phrase matches, whatever columns the documents have.
+    names = ("words", "doc", "found", "close", "item", "terms", "near", "_words", "_doc", "_found", "near_hits", "hits")
+    named = docs.withColumnRenamed("doc", "doc_id").select("*", *(F.lit(n).alias(n) for n in names))
+    table = spark.createDataFrame(wanted, "item_id long, text string")
+    out = decontaminate.contamination(named, table, near=(12, 0.8))
+    rows = out.collect()
+    assert {(r.doc_id, *p) for r in rows for p in r.near_hits} == want and all(list(r.near_hits) == sorted(r.near_hits) for r in rows)
+    assert all(r[n] == n for r in rows for n in names[:-2]) and set(named.columns) < set(out.columns)
+    plain = {r.doc_id: r.n_hit for r in decontaminate.contamination(named, table).collect()}
+    assert plain == {r.doc_id: r.n_hit for r in rows}
+    assert not any(x in out._jdf.queryExecution().toString() for x in ("Python", "Pandas", "MapInArrow"))
     assert {i for _, i, _, _ in want} >= {"1", "2", "3"} and (100, "1") in {x[:2] for x in want}
 
 
