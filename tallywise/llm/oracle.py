@@ -52,7 +52,7 @@ dk AS (SELECT doc_id, n, p, w[p + 1:p + n] AS k FROM (SELECT doc_id, w, n, unnes
 hit AS (SELECT doc_id, p, n, item_id FROM dk JOIN bk USING (n, k)),
 cov AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id),
 bt AS (SELECT row_number() OVER () AS item, item_id, greatest(30, len(w)) AS size, list_distinct(w) AS terms
   FROM (SELECT DISTINCT item_id, w FROM b WHERE len(w) > 0)),
 bw AS (SELECT item, unnest(terms) AS t FROM bt),
