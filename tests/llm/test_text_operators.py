@@ -191,12 +191,52 @@ def test_licenses(spark):
 def test_licenses_find_all_that_hold_enough_shingles(spark, docs, corpus):
     plain = lambda t: [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", x) for x in brute.words((t or "").lower())) if w]
     texts = {"p": next(t for d, t in corpus if d is None and t), "n": next(t for d, t in corpus if d == 60)}
-    cut = lambda t: {tuple(plain(t)[i:i + 5]) for i in range(len(plain(t)) - 4)}
+    fives = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    cut = lambda t: fives(plain(t))
     want = [(d, sorted(k for k, v in texts.items() if len(cut(v) & cut(t)) >= 0.75 * len(cut(v)))) for d, t in corpus]
     out = licenses.scan(docs, licenses.template_table(spark, texts)).collect()
     assert ordered((r.doc_id, sorted({m.license_id for m in r.licenses})) for r in out) == ordered(want)
 
 
+def test_licenses_do_not_depend_on_neighbours(spark):
+    """Long templates whole, cut, with passages inserted and in the middle of texts, among any other rows."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda n: [word() for _ in range(n)]
+    long, wide = some(400), some(900)
+    mit = licenses.TEMPLATES["MIT"].split()
+    into = lambda t, n, *at: [x for i, w in enumerate(t) for x in ([*some(n), w] if i in at else [w])]
+    cases = {
+        "whole": (long, "long"), "cut": (long[:330], "long"), "end": (long[70:], "long"), "too short": (long[:290], None),
+        "inside": (some(300) + long + some(300), "long"), "one insert": (into(long, 50, 200), "long"),
+        "long insert": (into(long, 380, 200), "long"), "three inserts": (into(long, 120, 100, 200, 300), "long"),
+        "every tenth": ([word() if i % 10 == 0 else w for i, w in enumerate(long)], None),
+        "every thirtieth": ([word() if i % 30 == 0 else w for i, w in enumerate(long)], "long"),
+        "mit": (mit, "MIT"), "mit 40": (into(mit, 40, 40), "MIT"), "mit 50": (into(mit, 50, 40), "MIT"), "wide": (wide[100:850], "wide"),
+        "both": (long + some(5) + wide, "long,wide"), "half": (some(20) + wide[:450] + some(20), None), "other": (some(500), None),
+        "tiny": (licenses.TEMPLATES["MIT-short"].split(), "MIT-short"), "tail": (some(3) + long[60:], "long")}
+    rows = [(k, " ".join(t)) for k, (t, _) in cases.items()] + [(f"fill {i}", " ".join(some(rng.randrange(12)))) for i in range(40)]
+    rng.shuffle(rows)
+    templates = licenses.template_table(spark, {"long": " ".join(long), "wide": " ".join(wide), "MIT": " ".join(mit),
+                                                "MIT-short": licenses.TEMPLATES["MIT-short"]})
+    seen = []
+    for parts in (1, 3, 50):
+        got = {r.doc_id: [tuple(m) for m in r.licenses] for r in licenses.scan(
+            spark.createDataFrame(rows, "doc_id string, text string").repartition(parts), templates).collect()}
+        seen.append(got)
+        for k, (_, want) in cases.items():
+            assert ",".join(m[0] for m in got[k]) == (want or ""), (k, got[k])
+    assert seen[0] == seen[1] == seen[2]
+    assert seen[0]["inside"][0][1:3] == (300, 700) and seen[0]["one insert"][0][1:3] == (0, 450)
+
+
+def test_full_licenses(spark):
+    full = [k for k in licenses.TEMPLATES if k.endswith("-full")]
+    docs = spark.createDataFrame([(k, "x y\n" + licenses.TEMPLATES[k].replace(", ", ",\n")) for k in full], "doc_id string, text string")
+    for r in licenses.scan(docs, licenses.template_table(spark)).collect():
+        assert (r.doc_id, 2, 1.0) in {(m.license_id, m.start, m.containment) for m in r.licenses}
+
+
 def test_licenses_of_nothing(spark, no_docs, docs):
     assert licenses.scan(no_docs, licenses.template_table(spark)).collect() == []
     none = spark.createDataFrame([], "license_id string, text string")
