@@ -5,6 +5,8 @@ Pixels are first counted per colour, so an image never weighs more than its dist
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,6 +85,21 @@ def _settled(colors: DataFrame, centers: DataFrame, k: int) -> DataFrame:
     raise RuntimeError(f"centres still move after {MOST_ROUNDS} rounds")
 
 
+def _first_centers(colors: DataFrame, k) -> DataFrame:
+    """The ``k`` most frequent colours of each image; ``k`` a number or a column."""
+    order = Window.partitionBy("image_id").orderBy(F.col("n").desc(), *RGB)
+    start = F.struct(
+        (F.row_number().over(order) - 1).alias("cluster"), *[F.col(c).cast("double").alias(c) for c in RGB])
+    # Ranking keeps only the first k rows of each task; the lists hold k entries.
+    return (colors.select("image_id", start.alias("s")).where(F.col("s.cluster") < k)
+            .groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("centers")))
+
+
+def _flat(centers: DataFrame) -> DataFrame:
+    return centers.select("image_id", F.explode("centers").alias("s")).select(
+        "image_id", "s.cluster", *[F.col(f"s.{c}").alias(f"c{c}") for c in RGB])
+
+
 def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int | None = None) -> tuple[DataFrame, DataFrame]:
     """K-means per image, all images at once: (centres, colours with their cluster).
 
@@ -91,40 +108,49 @@ def kmeans_colors(pixels: DataFrame, k: int = 5, iterations: int | None = None)
     aggregate; sums of whole numbers make the result the same in every run.
     """
     colors = cut_lineage(color_counts(pixels))
-    order = Window.partitionBy("image_id").orderBy(F.col("n").desc(), *RGB)
-    start = F.struct(
-        (F.row_number().over(order) - 1).alias("cluster"), *[F.col(c).cast("double").alias(c) for c in RGB])
-    # Ranking keeps only the first k rows of each task; the lists hold k entries.
-    centers = (
-        colors.select("image_id", start.alias("s")).where(F.col("s.cluster") < k)
-        .groupBy("image_id").agg(F.sort_array(F.collect_list("s")).alias("centers"))
-    )
+    centers = _first_centers(colors, k)
     if iterations is None:
         centers = _settled(colors, centers, k)
     else:
         for _ in range(iterations):
             centers = _moved(_assign(colors, centers, k), k)
         centers = cut_lineage(centers)
-    flat = centers.select("image_id", F.explode("centers").alias("s")).select(
-        "image_id", "s.cluster", *[F.col(f"s.{c}").alias(f"c{c}") for c in RGB])
-    return flat, _assign(colors, centers, k).drop("centers")
+    return _flat(centers), _assign(colors, centers, k).drop("centers")
+
+
+def kmeans_palettes(pixels: DataFrame, ks: Sequence[int] = (5, 3, 1)) -> tuple[DataFrame, DataFrame]:
+    """``kmeans_colors`` at rest for several numbers of colours, in the same rounds; both tables have a column ``k``."""
+    colors = cut_lineage(color_counts(pixels))
+    each = colors.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    # An image and a number of colours stand for an image.
+    keyed = each.select(F.struct("image_id", "k").alias("image_id"), *RGB, "n")
+    centers = _settled(keyed, _first_centers(keyed, F.col("image_id.k")), max(ks))
+    assigned = _assign(keyed, centers, max(ks)).drop("centers")
+    return tuple(t.select("image_id.image_id", "image_id.k", *[c for c in t.columns if c != "image_id"])
+                 for t in (_flat(centers), assigned))
+
+
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("image_id", "k") if c in df.columns]
 
 
 def cluster_share(assigned: DataFrame) -> DataFrame:
-    """Pixels per image and cluster and their share, rounded half-even to 2 places."""
-    per = assigned.groupBy("image_id", "cluster").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("image_id"))
+    """Pixels per image and cluster and their share, rounded half-even to 2 places; per ``k`` too where there is one."""
+    keys = _keys(assigned)
+    per = assigned.groupBy(*keys, "cluster").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
     return per.withColumn("share", half_even(F.col("n") / total, 2))
 
 
 def palette_strip(centers: DataFrame, shares: DataFrame, width: int = 300) -> DataFrame:
     """Strip of colours in cluster order; each is ``int(share * width + 1)`` pixels wide."""
-    so_far = Window.partitionBy("image_id").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
+    keys = _keys(shares)
+    so_far = Window.partitionBy(*keys).orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
     px = F.floor(F.col("share") * width + 1).cast("bigint")
     return (
-        centers.join(shares, ["image_id", "cluster"]).withColumn("width_px", px)
+        centers.join(shares, [*keys, "cluster"]).withColumn("width_px", px)
         .withColumn("start_px", F.coalesce(F.sum("width_px").over(so_far), F.lit(0)))
-        .select("image_id", "cluster", *[F.floor(F.col(f"c{c}")).cast("int").alias(c) for c in RGB],
+        .select(*keys, "cluster", *[F.floor(F.col(f"c{c}")).cast("int").alias(c) for c in RGB],
                 "share", "start_px", "width_px")
     )
 

@@ -46,7 +46,7 @@ LEXICON = (("thatin", 1.9), ("hehely", -1.5), ("inoran", 2.4), ("orantion", -2.2
            ("rewh", 1.3), ("orre", -1.1), ("eau", 1.6), ("elle", -2.7), ("ment", 3.1), ("keit", -0.9), ("ung", 2.0))
 NEGATIONS = ("on", "la", "und", "not", "no")
 BOOSTERS = {"of": 0.293, "ci": -0.293, "der": 0.293}
-KMEANS_K, KMEANS_ROUNDS = 3, 5
+KMEANS_K = (5, 3, 1)
 SPLIT_SEED = 0
 
 
@@ -626,49 +626,25 @@ def mode_color(spark, sf):
     return imaging.mode_color(views.pixels(spark, sf))
 
 
-def _palette(spark, sf):
-    centers, assigned = imaging.kmeans_colors(views.pixels(spark, sf), KMEANS_K, KMEANS_ROUNDS)
+def _palettes(spark, sf):
+    """Palettes at rest: centres and shares for each number of colours."""
+    centers, assigned = imaging.kmeans_palettes(views.pixels(spark, sf), KMEANS_K)
     return centers, imaging.cluster_share(assigned)
 
 
 @query()
 def kmeans_palette(spark, sf):
-    return _palette(spark, sf)[0]
+    return _palettes(spark, sf)[0]
 
 
 @query()
 def cluster_share(spark, sf):
-    return _palette(spark, sf)[1]
+    return _palettes(spark, sf)[1]
 
 
 @query()
 def palette_strip(spark, sf):
-    return imaging.palette_strip(*_palette(spark, sf))
-
-
-def _settled_palettes(spark, sf, of):
-    """``of(centres, shares)`` for palettes of 5, 3 and 1 colours, iterated until no centre moves."""
-    pixels = views.pixels(spark, sf)
-    made = []
-    for k in (5, 3, 1):
-        centers, assigned = imaging.kmeans_colors(pixels, k)
-        made.append(of(centers, imaging.cluster_share(assigned)).withColumn("k", F.lit(k)))
-    return made[0].unionByName(made[1]).unionByName(made[2])
-
-
-@query()
-def kmeans_palette_settled(spark, sf):
-    return _settled_palettes(spark, sf, lambda centers, shares: centers)
-
-
-@query()
-def cluster_share_settled(spark, sf):
-    return _settled_palettes(spark, sf, lambda centers, shares: shares)
-
-
-@query()
-def palette_strip_settled(spark, sf):
-    return _settled_palettes(spark, sf, imaging.palette_strip)
+    return imaging.palette_strip(*_palettes(spark, sf))
 
 
 @query()

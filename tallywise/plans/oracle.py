@@ -258,26 +258,28 @@ RATED = "rated AS (SELECT doc_id AS id, CAST(doc_id % 5 + 1 AS INTEGER) AS score
 
 
 def kmeans() -> str:
-    """The same rounds of assignment and mean, written out."""
-    parts = [PIXELS, f"""
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) - 1 AS k FROM colors),
-c0 AS (SELECT image_id, CAST(k AS INTEGER) AS cluster, r::DOUBLE AS cr, g::DOUBLE AS cg, b::DOUBLE AS cb FROM ranked WHERE k < {C.KMEANS_K})"""]
-    dist = "(r - cr) * (r - cr) + (g - cg) * (g - cg) + (b - cb) * (b - cb)"
-    for i in range(C.KMEANS_ROUNDS + 1):
-        parts.append(f"""
-a{i} AS (SELECT image_id, r, g, b, any_value(n) AS n, arg_min(cluster, struct_pack(d := {dist}, c := cluster)) AS cluster
-         FROM colors JOIN c{i} USING (image_id) GROUP BY image_id, r, g, b)""")
-        if i < C.KMEANS_ROUNDS:
-            parts.append(f"""
-s{i} AS (SELECT image_id, cluster, sum(n)::DOUBLE AS n, sum(r * n)::DOUBLE AS r, sum(g * n)::DOUBLE AS g, sum(b * n)::DOUBLE AS b FROM a{i} GROUP BY image_id, cluster),
-c{i + 1} AS (SELECT image_id, cluster, coalesce(s.r / s.n, cr) AS cr, coalesce(s.g / s.n, cg) AS cg, coalesce(s.b / s.n, cb) AS cb
-         FROM c{i} LEFT JOIN s{i} s USING (image_id, cluster))""")
-    last = C.KMEANS_ROUNDS
-    parts.append(f"""
-centers AS (SELECT * FROM c{last}),
-per AS (SELECT image_id, cluster, sum(n)::BIGINT AS n FROM a{last} GROUP BY image_id, cluster),
-shares AS (SELECT *, {even('n / (sum(n) OVER (PARTITION BY image_id))::DOUBLE')} AS share FROM per)""")
-    return ",".join(parts)
+    """Rounds of assignment and mean for each image and number of colours until its centres stay; for WITH RECURSIVE."""
+    dist = "(r - c.r) * (r - c.r) + (g - c.g) * (g - c.g) + (b - c.b) * (b - c.b)"
+    near = f"CAST(list_position(list_transform(cs, lambda c: {dist}), list_min(list_transform(cs, lambda c: {dist}))) - 1 AS INTEGER)"
+    mean = ", ".join(f"sum({c} * n)::DOUBLE / sum(n)::DOUBLE AS {c}" for c in "rgb")
+    ks = ", ".join(f"({k})" for k in C.KMEANS_K)
+    return f"""{PIXELS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) - 1 AS rank FROM colors),
+first_centers AS (SELECT image_id, k, list(struct_pack(c := rank::INTEGER, r := r::DOUBLE, g := g::DOUBLE, b := b::DOUBLE) ORDER BY rank) AS cs
+  FROM ranked, (VALUES {ks}) AS t(k) WHERE rank < k GROUP BY image_id, k),
+rounds AS (SELECT image_id, k, 0 AS turn, cs, TRUE AS moves FROM first_centers
+  UNION ALL
+  SELECT image_id, k, turn + 1, now, now <> cs FROM (
+    SELECT *, list_transform(cs, lambda c: coalesce(list_filter(found, lambda f: f.c = c.c)[1], c)) AS now FROM (
+      SELECT image_id, k, turn, cs, list(struct_pack(c := c, r := r, g := g, b := b)) AS found FROM (
+        SELECT image_id, k, turn, cs, c, {mean} FROM (
+          SELECT image_id, k, turn, cs, r, g, b, n, {near} AS c FROM rounds JOIN colors USING (image_id) WHERE moves)
+        GROUP BY image_id, k, turn, cs, c)
+      GROUP BY image_id, k, turn, cs))),
+rest AS (SELECT image_id, k, arg_max(cs, turn) AS cs FROM rounds GROUP BY image_id, k),
+centers AS (SELECT image_id, k, x.c AS cluster, x.r AS cr, x.g AS cg, x.b AS cb FROM (SELECT image_id, k, unnest(cs) AS x FROM rest)),
+per AS (SELECT image_id, k, {near} AS cluster, sum(n)::BIGINT AS n FROM rest JOIN colors USING (image_id) GROUP BY image_id, k, {near}),
+shares AS (SELECT *, {even('n / (sum(n) OVER (PARTITION BY image_id, k))::DOUBLE')} AS share FROM per)"""
 
 
 def stream_windows(period: str, days_long: int) -> str:
@@ -474,11 +476,11 @@ SELECT place_id, coalesce(arg_max(name, ord), '') AS region FROM p LEFT JOIN b O
     q["mean_color"] = f"WITH {PIXELS} SELECT image_id, {', '.join(f'CAST(floor(avg({c})) AS INTEGER) AS {c}' for c in 'rgb')} FROM pixels GROUP BY image_id"
     q["mode_color"] = f"""WITH {PIXELS} SELECT image_id, r, g, b, n, n_pixels FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY image_id) AS BIGINT) AS n_pixels,
   row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS i FROM colors) WHERE i = 1"""
-    q["kmeans_palette"] = f"WITH {kmeans()} SELECT image_id, cluster, {rnd('cr', 'cr')}, {rnd('cg', 'cg')}, {rnd('cb', 'cb')} FROM centers"
-    q["cluster_share"] = f"WITH {kmeans()} SELECT image_id, cluster, n, share FROM shares"
-    q["palette_strip"] = f"""WITH {kmeans()}, w AS (SELECT *, CAST(floor(share * 300 + 1) AS BIGINT) AS width_px FROM shares JOIN centers USING (image_id, cluster))
-SELECT image_id, cluster, CAST(floor(cr) AS INTEGER) AS r, CAST(floor(cg) AS INTEGER) AS g, CAST(floor(cb) AS INTEGER) AS b, share,
-  CAST(coalesce(sum(width_px) OVER (PARTITION BY image_id ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_px, width_px FROM w"""
+    q["kmeans_palette"] = f"WITH RECURSIVE {kmeans()} SELECT image_id, k, cluster, {rnd('cr', 'cr')}, {rnd('cg', 'cg')}, {rnd('cb', 'cb')} FROM centers"
+    q["cluster_share"] = f"WITH RECURSIVE {kmeans()} SELECT image_id, k, cluster, n, share FROM shares"
+    q["palette_strip"] = f"""WITH RECURSIVE {kmeans()}, w AS (SELECT *, CAST(floor(share * 300 + 1) AS BIGINT) AS width_px FROM shares JOIN centers USING (image_id, k, cluster))
+SELECT image_id, k, cluster, CAST(floor(cr) AS INTEGER) AS r, CAST(floor(cg) AS INTEGER) AS g, CAST(floor(cb) AS INTEGER) AS b, share,
+  CAST(coalesce(sum(width_px) OVER (PARTITION BY image_id, k ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_px, width_px FROM w"""
     q["decode_boxes"] = f'WITH {CELLS} SELECT frame_id, "row", col, {rnd("score", "score")}, start_x, start_y, end_x, end_y FROM boxes'
     scaled = ", ".join(f"CAST(trunc({c} * ({w}::DOUBLE / 320)) AS INTEGER) AS {c}" for c, w in
                        (("start_x", 1000), ("start_y", 562), ("end_x", 1000), ("end_y", 562)))
