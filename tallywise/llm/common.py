@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywise.session import cut_lineage
+from tallywise.session import cut_lineage, scratch_path
 
 def own_names(*names: str) -> list[str]:
     """Column names that no table has, for what an operator adds on its way."""
@@ -186,6 +186,22 @@ def with_answers(chunks: DataFrame, answers: DataFrame, use: Callable[[object, d
     return _cogroup(chunks, answers, lambda chunk, payload, got: pa.concat_tables(use(unpack(payload), got)), schema)
 
 
+def by_chunk(chunks: DataFrame, answers: DataFrame, use: Callable[[int, object, dict], pa.Table], schema) -> DataFrame:
+    """``use(chunk, packed payload, {level: answers in order of their buckets})`` for each chunk."""
+    return _cogroup(chunks, answers, use, schema)
+
+
+def stored_in_buckets(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` written to the shared folder, dealt by ``key``: what groups or joins by it need not move them again."""
+    spark = rows.sparkSession
+    name = f"stored_{uuid.uuid4().hex}"
+    rows.repartition(key).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option(
+        "path", scratch_path(spark, "stored")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are external, and `table` knows them
+    return table
+
+
 def _cogroup(chunks: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got: dict[int, list] = {}

@@ -74,9 +74,11 @@ def test_brown_probabilities_sum_to_one(docs):
     model = brown.fit(brown.chunks_of(with_split(docs)), classes=6, least=3, rounds=2)
     p = 10 ** model.log_transitions()
     assert np.allclose(p.sum(axis=1), 1)
-    total = np.bincount(model.classes, weights=model.counts, minlength=model.width)
+    words = model.words().collect()
+    total = np.bincount([w["class"] for w in words if w["class"] >= 0], weights=[w.n for w in words if w["class"] >= 0], minlength=model.classes)
     assert model.transitions.sum() == model.tokens
-    assert np.allclose(total[:-2], model.transitions.sum(axis=0)[:-2])
+    assert np.allclose(total, model.transitions.sum(axis=0)[:-2]) and np.allclose(total, model.class_tokens)
+    assert all((w["class"] >= 0) == (w.n >= 3) for w in words) and len(words) == model.distinct - 1
 
 
 def test_brown_exchange_finds_classes(spark):
@@ -89,6 +91,44 @@ def test_brown_exchange_finds_classes(spark):
     assert got[0] < 0.6 * got[1]
 
 
+def test_brown_score_like_plain(docs, corpus):
+    """The class score of each text from the classes of the fitted model, token by token."""
+    import xxhash
+
+    table = with_split(docs)
+    model = brown.fit(brown.chunks_of(table), classes=6, least=3, rounds=2)
+    kind = {w.word % (1 << 64): (w["class"], w.n) for w in model.words().collect()}
+    rare = [n for k, n in kind.values() if k < 0]
+    log_next, end = model.log_transitions(), model.width - 1
+    want = []
+    for d, t in corpus:
+        before, total = end, 0.0
+        for w in [*brute.words(t, True), None]:
+            if w is None:
+                k, emit = end, 0.0
+            else:
+                k, n = kind.get(xxhash.xxh3_64_intdigest(w), (-1, 0))
+                emit = math.log10(n / model.class_tokens[k]) if k >= 0 else math.log10((n + 0.5) / (sum(rare) + 0.5 * (len(rare) + 1)))
+                k = k if k >= 0 else end - 1
+            total += emit + log_next[before, k]
+            before = k
+        want.append((d, round(total, 5)))
+    got = brown.score(table, classes=6, least=3, rounds=2)
+    assert ordered((r.doc_id, round(r.score, 5)) for r in got.collect()) == ordered(want)
+
+
+def test_brown_clusters_more_words_of_more_text(spark, docs):
+    """A word with enough occurrences is clustered however much text there is beside it."""
+    few = docs.select("doc_id", "text")
+    other = spark.range(3000).select((F.col("id") + 1000).alias("doc_id"),
+                                     F.concat_ws(" ", *[F.concat(F.lit(f"n{i}x"), F.col("id") % 700) for i in range(20)]).alias("text"))
+    clustered = []
+    for table in (few, few.union(other), few.union(other).union(other)):
+        model = brown.fit(brown.chunks_of(table.withColumn("held_out", F.lit(False))), classes=4, least=3, rounds=1)
+        clustered.append({w.word for w in model.words().where("class >= 0").collect()})
+    assert clustered[0] < clustered[1] <= clustered[2] and len(clustered[1]) > 10_000
+
+
 def test_brown_of_nothing(no_docs, docs):
     assert brown.score(with_split(no_docs)).collect() == []
     rows = brown.score(docs.withColumn("held_out", F.lit(True)).limit(3)).collect()
