@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.session import cut_lineage
+
 BOX = ("start_x", "start_y", "end_x", "end_y")
 
 
@@ -29,34 +29,67 @@ def rescale_boxes(boxes: DataFrame, ratio_x: float, ratio_y: float) -> DataFrame
         c: (F.col(c) * (ratio_x if c.endswith("x") else ratio_y)).cast("int") for c in BOX})
 
 
-def _suppress(frame: pd.DataFrame, overlap: float) -> pd.DataFrame:
-    """Keep boxes from the highest score down, dropping those mostly covered by a kept one."""
-    frame = frame.sort_values(["score", *BOX], ascending=[False, True, True, True, True], kind="stable")
-    x1, y1, x2, y2 = (frame[c].to_numpy(float) for c in BOX)
-    area = (x2 - x1 + 1) * (y2 - y1 + 1)
-    left = np.arange(len(frame))
-    kept = []
-    while left.size:
-        i, rest = left[0], left[1:]
-        kept.append(i)
-        w = np.clip(np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]) + 1, 0, None)
-        h = np.clip(np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]) + 1, 0, None)
-        left = rest[w * h / area[rest] <= overlap]
-    return frame.iloc[kept]
+def _area(prefix: str = "") -> Column:
+    side = lambda c: (F.col(f"{prefix}end_{c}") - F.col(f"{prefix}start_{c}") + 1).cast("double")
+    return side("x") * side("y")
 
 
-def nms_boxes(boxes: DataFrame, overlap: float = 0.3) -> DataFrame:
-    """Non-maximum suppression per frame.
+def _covered(boxes: DataFrame, overlap: float) -> DataFrame:
+    """``frame_id, a, b``: places of boxes of which ``a`` comes before ``b`` and covers more than ``overlap`` of it.
 
-    Equal boxes are merged to their best score before the exchange: the lesser copies would be
-    suppressed anyway, and what is left of a frame is bounded by the detector's grid.
+    Boxes meet by the cells of grids whose cells are as wide as powers of two. A box lies in the grid of its own
+    size, where it touches four cells at most, and looks for larger boxes in the coarser grids that its frame uses.
     """
-    merged = boxes.groupBy("frame_id", *BOX).agg(F.max("score").alias("score"))
-    frame_type = boxes.schema["frame_id"].dataType.simpleString()
-    schema = f"frame_id {frame_type}, " + ", ".join(f"{c} int" for c in BOX) + ", score double"
-    names = ["frame_id", *BOX, "score"]
+    size = F.greatest(F.col("end_x") - F.col("start_x"), F.col("end_y") - F.col("start_y"), F.lit(0)) + 1
+    sized = cut_lineage(boxes.withColumn("level", F.ceil(F.log2(size)).cast("int")))
+    used = sized.select("frame_id", F.col("level").alias("grid")).distinct()
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        out = df
+        for c in "xy":
+            cell = lambda e: F.floor(F.col(f"{e}_{c}") / F.pow(F.lit(2.0), F.col("grid"))).cast("long")  # noqa: B023, E731
+            out = out.withColumn(f"cell_{c}", F.explode(F.sequence(F.least(cell("start"), cell("end")), cell("end"))))
+        return out.select("frame_id", "grid", "cell_x", "cell_y", *(F.col(c).alias(f"{name}_{c}") for c in ("level", "place", *BOX)))
+
+    large = cells(sized.withColumn("grid", F.col("level")), "p")
+    small = cells(sized.join(used, "frame_id").where("grid >= level"), "q")
+    pairs = large.join(small, ["frame_id", "grid", "cell_x", "cell_y"]).where(
+        "p_level > q_level OR p_place < q_place")  # boxes of one size find each other twice
+    wide, high = (F.least(f"p_end_{c}", f"q_end_{c}") - F.greatest(f"p_start_{c}", f"q_start_{c}") + 1 for c in "xy")
+    shared = F.greatest(wide, F.lit(0)).cast("double") * F.greatest(high, F.lit(0)).cast("double")
+    first = F.col("p_place") < F.col("q_place")
+    covered = shared / F.when(first, _area("q_")).otherwise(_area("p_"))
+    return pairs.where(covered > overlap).select(
+        "frame_id", F.least("p_place", "q_place").alias("a"), F.greatest("p_place", "q_place").alias("b")).distinct()
 
-    def per_frame(frame: pd.DataFrame) -> pd.DataFrame:
-        return _suppress(frame, overlap)[names]
 
-    return merged.select(*names).groupBy("frame_id").applyInPandas(per_frame, schema)
+def nms_boxes(boxes: DataFrame, overlap: float = 0.3) -> DataFrame:
+    """Non-maximum suppression per frame: boxes in order of score, each dropped if a kept one covers it.
+
+    A box goes if an earlier kept one covers more than ``overlap`` of it; earlier has the higher score, or the
+    smaller corners. Boxes that none of their undecided coverers can drop any more are kept, those that a kept
+    one covers go, round by round until all is decided: a large frame is the work of many tasks. Equal boxes are
+    merged to their best score first. A box without area goes unless it is its frame's first.
+    """
+    spark = boxes.sparkSession
+    merged = boxes.groupBy("frame_id", *BOX).agg(F.max("score").alias("score"))
+    # Boxes of a frame differ in this, and it puts them in order.
+    placed = cut_lineage(merged.withColumn("place", F.struct((-F.col("score")).alias("s"), *BOX)))
+    flat = placed.where(_area() == 0)
+    top = placed.join(flat.select("frame_id").distinct(), "frame_id").groupBy("frame_id").agg(F.min("place").alias("place"))
+    gone = flat.select("frame_id", "place").join(top, ["frame_id", "place"], "left_anti")
+    left = cut_lineage(_covered(placed.where(_area() != 0), overlap))
+    dropped = [cut_lineage(gone)]
+    while not left.isEmpty():
+        covered = left.select("frame_id", F.col("b").alias("place")).distinct()
+        kept = left.select("frame_id", F.col("a").alias("place")).distinct().join(covered, ["frame_id", "place"], "left_anti")
+        new = cut_lineage(left.join(kept.withColumnRenamed("place", "a"), ["frame_id", "a"], "left_semi")
+                          .select("frame_id", F.col("b").alias("place")).distinct())
+        dropped.append(new)
+        for side in ("a", "b"):
+            left = left.join(new.withColumnRenamed("place", side), ["frame_id", side], "left_anti")
+        left = cut_lineage(left)
+    out = spark.createDataFrame([], dropped[0].schema)
+    for d in dropped:
+        out = out.union(d)
+    return placed.join(out, ["frame_id", "place"], "left_anti").select("frame_id", *BOX, "score")

@@ -485,6 +485,16 @@ SELECT image_id, k, cluster, CAST(floor(cr) AS INTEGER) AS r, CAST(floor(cg) AS
     scaled = ", ".join(f"CAST(trunc({c} * ({w}::DOUBLE / 320)) AS INTEGER) AS {c}" for c, w in
                        (("start_x", 1000), ("start_y", 562), ("end_x", 1000), ("end_y", 562)))
     q["rescale_boxes"] = f'WITH {CELLS} SELECT frame_id, "row", col, {rnd("score", "score")}, {scaled} FROM boxes'
+    packed_box = "struct_pack(start_x := start_x, start_y := start_y, end_x := end_x, end_y := end_y, score := score)"
+    area = "(b.end_x - b.start_x + 1)::DOUBLE * (b.end_y - b.start_y + 1)"
+    side = lambda l, c: f"greatest(least({l}.end_{c}, b.end_{c}) - greatest({l}.start_{c}, b.start_{c}) + 1, 0)::DOUBLE"
+    free = lambda l: f"list_filter({l}[2:], lambda b: {area} <> 0 AND {side(l + '[1]', 'x')} * {side(l + '[1]', 'y')} / ({area}) <= 0.3)"
+    q["nms_boxes"] = f"""WITH RECURSIVE {CELLS},
+merged AS (SELECT frame_id, start_x, start_y, end_x, end_y, max(score) AS score FROM boxes GROUP BY ALL),
+frames AS (SELECT frame_id, list({packed_box} ORDER BY score DESC, start_x, start_y, end_x, end_y) AS l FROM merged GROUP BY frame_id),
+picked AS (SELECT frame_id, l[1] AS k, {free('l')} AS rest FROM frames
+  UNION ALL SELECT frame_id, rest[1], {free('rest')} FROM picked WHERE len(rest) > 0)
+SELECT frame_id, k.start_x AS start_x, k.start_y AS start_y, k.end_x AS end_x, k.end_y AS end_y, {rnd('k.score', 'score')} FROM picked"""
     q["timeline_segments"] = f"""WITH {CUTS}, ok AS (SELECT * FROM cuts WHERE NOT bad),
 s AS (SELECT video_id, row_number() OVER w AS part, coalesce(lag(sec) OVER w, 0) AS start_s, sec AS end_s FROM ok WINDOW w AS (PARTITION BY video_id ORDER BY seq)),
 l AS (SELECT video_id, count(*) + 1 AS part, arg_max(sec, seq) AS start_s, max(duration) AS end_s FROM ok GROUP BY video_id)

@@ -189,6 +189,25 @@ def test_boxes_decode_and_suppress(spark):
     assert (scaled["start_x"], scaled["start_y"], scaled["end_x"], scaled["end_y"]) == (10, 12, 34, 42)
 
 
+def test_one_crowded_frame(spark):
+    """Boxes of all sizes, chains of overlaps, ties of score; no task gets the frame as one group."""
+    rng = np.random.default_rng(7)
+    boxes = [(int(x), int(y), int(x + w), int(y + h), float(s)) for x, y, w, h, s in zip(
+        rng.integers(-50, 900, 1500), rng.integers(-50, 900, 1500), 2.0 ** rng.uniform(0, 9, 1500), 2.0 ** rng.uniform(0, 9, 1500),
+        rng.integers(0, 40, 1500) / 40)]
+    boxes += [(x, 2000, x + 20, 2020, 1 - x / 1000) for x in range(0, 400, 8)]  # each covers most of the next
+    df = spark.createDataFrame([(1, *b) for b in boxes], "frame_id long, start_x int, start_y int, end_x int, end_y int, score double")
+    for overlap in (0.3, 0.0, 0.9):
+        got = detection.nms_boxes(df, overlap)
+        assert not any(x in got._jdf.queryExecution().toString() for x in ("Python", "Pandas"))
+        merged = {}
+        for b in boxes:
+            merged[b[:4]] = max(b[4], merged.get(b[:4], 0.0))
+        want = brute_nms([(*k, v) for k, v in merged.items()], overlap)
+        assert sorted(tuple(r)[1:] for r in got.collect()) == want
+    assert detection.nms_boxes(df.limit(0)).collect() == []
+
+
 # ---------------------------------------------------------------- timelines and sources
 
 def test_segments(spark):
