@@ -181,7 +181,7 @@ def tag_study(posts: DataFrame, id_col: str, text_col: str, tags: str, stop_word
     train, test = ready.where("is_train"), ready.where("NOT is_train")
     out: DataFrame | None = None
     for kind in kinds:
-        fitted = models.fit_tag_models(train, "indicators", labels, kind)
+        fitted = models.fit_tag_models(train, "indicators", labels, kind, id_col)
         score = text.jaccard_mean(models.predict_tags(fitted, test, labels), tags, "predicted").withColumn("kind", F.lit(kind))
         out = score if out is None else out.unionByName(score)
     return out
