@@ -22,7 +22,7 @@ from tallywise.functions.scalars import (
     whole_days,
 )
 from tallywise.operators.ordered import quantiles_of_counts, split_lag, value_counts
-from tallywise.operators.summary import conditional_totals, mean_by, median_by, row_counts
+from tallywise.operators.summary import conditional_totals, flagged_share, mean_by, median_by, row_counts
 from tallywise.session import cut_lineage
 
 # Probability edges of the ratio bins and of the gap bins.
@@ -230,13 +230,29 @@ def velocity(df: DataFrame, entity: Sequence[str], ts: str = "txn_ts", period: s
         "day": calendar_day(F.col(ts)), "week": week_start(F.col(ts)),
         "hour": F.date_trunc("hour", F.col(ts)),
     }
-    own = Window.partitionBy(*entity)
     counts = row_counts(df.withColumn("period", cuts[period]), [*entity, "period"], "txns")
+    return _above_own_mean(counts, entity, sigmas)
+
+
+def _above_own_mean(counts: DataFrame, entity: Sequence[str], sigmas: float) -> DataFrame:
+    own = Window.partitionBy(*entity)
     return counts.withColumns({
         "mean": F.avg("txns").over(own), "std": F.stddev_samp("txns").over(own),
     }).withColumn("anomaly", safe_flag(F.col("txns") > F.col("mean") + sigmas * F.col("std")))
 
 
+def velocity_shares(df: DataFrame, entity: Sequence[str], ts: str = "txn_ts", sigmas: float = 4.0) -> DataFrame:
+    """Share of entities with a flagged day, and of those with a flagged week.
+
+    The rows are read once, into stored counts per day; weeks are added up from those.
+    """
+    daily = cut_lineage(row_counts(df.withColumn("period", calendar_day(F.col(ts))), [*entity, "period"], "txns"))
+    weekly = daily.groupBy(*entity, week_start(F.col("period")).alias("period")).agg(F.sum("txns").alias("txns"))
+    parts = [flagged_share(daily, entity, _above_own_mean(counts, entity, sigmas).where("anomaly")).withColumn("period", F.lit(name))
+             for name, counts in (("day", daily), ("week", weekly))]
+    return parts[0].unionByName(parts[1])
+
+
 # ---------------------------------------------------------------- refunds
 
 def refund_patterns(df: DataFrame, keys: Sequence[str], amount: str = "amount", max_txn_ratio: float = 0.5,

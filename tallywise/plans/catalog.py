@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from tallywise.functions import scalars as S
 from tallywise.operators import anomaly, detection, geo, imaging, models, risk, summary, text, timeline
 from tallywise.plans import studies
-from tallywise.session import cut_lineage, tune
-from tallywise.sources import views
+from tallywise.session import cut_lineage, scratch_path, tune
+from tallywise.sources import readers, views
 from tallywise.streaming import monitors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,13 +351,7 @@ def velocity_hour_user(spark, sf):
 
 @query()
 def velocity_flagged_share(spark, sf):
-    base = views.txn(spark, sf, ["vendor", "txn_ts"])
-    parts = [
-        summary.flagged_share(base, ["vendor"], anomaly.velocity(base, ["vendor"], period=p).where("anomaly"))
-        .withColumn("period", F.lit(p))
-        for p in ("day", "week")
-    ]
-    return parts[0].unionByName(parts[1])
+    return anomaly.velocity_shares(views.txn(spark, sf, ["vendor", "txn_ts"]), ["vendor"])
 
 
 @query()
@@ -672,6 +666,14 @@ def timeline_rejects(spark, sf):
     return timeline.rejected_cuts(views.cut_points(spark, sf)).select("video_id", "seq", "cut")
 
 
+@query()
+def text_lines(spark, sf):
+    """Lines of the documents, by way of text files, and how often each occurs."""
+    path = scratch_path(spark, "lines")
+    views.documents(spark, sf).select(F.explode(F.split(F.regexp_replace("text", "\r", " "), "\n")).alias("line")).write.text(path)
+    return readers.read_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- streams
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -723,7 +725,9 @@ def stream_gap_state(spark, sf):
 
 @query()
 def stream_distinct(spark, sf):
-    stream = monitors.without_repeats(_events(spark, sf), ["event_id"]).select("event_id", "user_id")
+    # Every event is delivered twice.
+    twice = _events(spark, sf).unionByName(_events(spark, sf))
+    stream = monitors.without_repeats(twice, ["event_id"]).select("event_id", "user_id")
     return monitors.run_to_table(stream, "distinct")
 
 

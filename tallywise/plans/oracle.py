@@ -512,5 +512,7 @@ WHERE window_start + INTERVAL 1 DAY <= w"""
 SELECT user_id, window_start, txns, refunds, {rnd('refunds::DOUBLE / txns', 'refund_txn_ratio')}, {rnd('a / nullif(t, 0)', 'refund_amt_ratio')} FROM r"""
     q["stream_gap"] = f"SELECT user_id, event_id, {days('ts', 'lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS days_since_last, false AS late FROM events"
     q["stream_gap_state"] = q["stream_gap"]
+    q["text_lines"] = """SELECT trim(line) AS line, count(*) AS n
+FROM (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents) GROUP BY trim(line)"""
     q["stream_distinct"] = "SELECT event_id, user_id FROM events"
     return q
