@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywise.llm.common import own_names
+
 ROUNDS = 8
 
 # The written forms that are looked for, and what may not stand next to them.
@@ -166,11 +168,12 @@ def pseudonymize(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     network = Feistel(key, back)
     names = [c for c in docs.columns if c != "pii_kinds"]
     text = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
-    parts = docs.select(*names, F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("_found"),
-                        F.split(text, PATTERN, -1).alias("_gaps"))
-    parts = parts.withColumn("_new", F.transform("_found", lambda t: _judged(t, network)))
-    joined = F.array_join(F.zip_with("_gaps", "_new", lambda g, v: F.concat(g, F.coalesce(v["value"], F.lit("")))), "")
-    new = F.when(F.size("_found") > 0, joined).otherwise(F.col("text"))
-    kinds = F.filter(F.coalesce(F.transform("_new", lambda v: v["kind"]), F.array().cast("array<string>")),
+    found, gaps, judged = own_names("found", "gaps", "judged")
+    parts = docs.select(*names, F.regexp_extract_all(text, F.lit(PATTERN), 0).alias(found),
+                        F.split(text, PATTERN, -1).alias(gaps))
+    parts = parts.withColumn(judged, F.transform(found, lambda t: _judged(t, network)))
+    joined = F.array_join(F.zip_with(gaps, judged, lambda g, v: F.concat(g, F.coalesce(v["value"], F.lit("")))), "")
+    new = F.when(F.size(found) > 0, joined).otherwise(F.col("text"))
+    kinds = F.filter(F.coalesce(F.transform(judged, lambda v: v["kind"]), F.array().cast("array<string>")),
                      lambda k: k.isNotNull())
     return parts.select(*[new.alias(c) if c == "text" else F.col(c) for c in names], kinds.alias("pii_kinds"))
