@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywise.llm.common import pieces, split_words
+from tallywise.llm.common import own_names, pieces, split_words
 from tallywise.session import cut_lineage
 
 SECOND_PERSON = frozenset(
@@ -162,18 +162,20 @@ def _portions(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 6
             yield batch.slice(part.start, part.stop - part.start)
 
 
-def _featured(docs: DataFrame, lexicon: dict, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``_features``, those of ``text``."""
+def _featured(docs: DataFrame, lexicon: dict, keep: list[str], name: str) -> DataFrame:
+    """The columns ``keep`` of ``docs``, and as ``name`` the features of ``text``."""
+    (own,) = own_names("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _portions(batches, "_text"):
-            f = features(batch.column("_text"), lexicon)
+        for batch in _portions(batches, own):
+            f = features(batch.column(own), lexicon)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * len(FEATURES)),
                                             pa.array(f.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], [*keep, "_features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), flat], [*keep, name])
 
     kept = docs.select(*keep)
-    schema = T.StructType([*kept.schema.fields, T.StructField("_features", T.ArrayType(T.DoubleType()))])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return docs.select(*keep, F.col("text").alias(own)).mapInArrow(run, schema)
 
 
 def fit(labelled: DataFrame, most_rows: int = 10_000, trees: int = 30, depth: int = 4, seed: int = 7) -> ToxicityModel:
@@ -194,7 +196,7 @@ def fit(labelled: DataFrame, most_rows: int = 10_000, trees: int = 30, depth: in
     if len(counts) < 4:
         return ToxicityModel({}, None, [], [], prior)
     lexicon = learn_lexicon(sample.where("teach"))
-    made = cut_lineage(_featured(sample, lexicon, ["label", "teach"]).repartition(4))
+    made = cut_lineage(_featured(sample, lexicon, ["label", "teach"], "_features").repartition(4))
     made = made.select("*", array_to_vector("_features").alias("_vector"))
     teach = made.where("teach")
     balance = counts[True, 0] / counts[True, 1]
@@ -210,18 +212,22 @@ def fit(labelled: DataFrame, most_rows: int = 10_000, trees: int = 30, depth: in
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), least: float = 0.01) -> DataFrame:
-    """The columns ``keep``, ``_features`` and ``score`` for each row of ``docs(text, ...)``, from the text alone.
+    """The columns ``keep`` and ``score`` for each row of ``docs(text, ...)``, from the text alone.
 
     The calibrated probability, of which ``least`` is left to the trees' own so that ties keep their order.
-    A null text scores as an empty one; repeated rows score alike; other columns are not used.
+    A null text scores as an empty one; repeated rows score alike; other columns are not used. A column
+    ``score`` among ``keep`` is replaced.
     """
-    featured = _featured(docs, model.lexicon, list(keep))
+    keep = [c for c in keep if c != "score"]
+    found, vector, raw, chance, label = own_names("features", "vector", "raw", "probability", "label")
+    featured = _featured(docs, model.lexicon, keep, found)
     if model.trees is None:
-        return featured.withColumn("score", F.lit(float(model.prior)))
-    scored = model.trees.transform(featured.withColumn("_vector", array_to_vector("_features")))
-    p = vector_to_array("_probability")[1]
+        return featured.select(*keep, F.lit(float(model.prior)).alias("score"))
+    trees = model.trees.copy().setFeaturesCol(vector).setRawPredictionCol(raw).setProbabilityCol(chance).setPredictionCol(label)
+    scored = trees.transform(featured.withColumn(vector, array_to_vector(found)))
+    p = vector_to_array(chance)[1]
     smooth = (1 - least) * _interpolated(p, model.bounds, model.values) + least * p
-    return scored.select(*keep, "_features", smooth.alias("score"))
+    return scored.select(*keep, smooth.alias("score"))
 
 
 def _interpolated(p, bounds: list, values: list):

@@ -56,6 +56,41 @@ def test_stages(spark):
         d: (len(i), hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest()) for d, i in want.items()}
 
 
+def test_stages_with_odd_rows_and_names(spark):
+    """Null ids, texts and other columns, repeated rows, shared ids, and columns named as operators name theirs."""
+    from pyspark.sql import functions as F
+
+    names = ("score", "removed_lines", "n_words", "hits", "contaminated", "component_id", "row", "words", "_features", "_text",
+             "_row", "_lines", "_doc", "_found", "near_hits", "label", "teach")
+    some = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    odd = spark.createDataFrame([(None, "a text without an id, with seven more words", None, None, None), (900_001, None, "en", "s", 0),
+                                 (900_002, "", None, "s", 0), (900_003, " \n\t\n", "en", None, None)], some.schema)
+    docs = some.union(odd).union(odd).union(some.limit(20)).select("*", *(F.lit(n).alias(n) for n in names))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        was = [(r.doc_id, r.text) for r in docs.collect()]
+        out = stages[name](spark, docs, SF_DIR)
+        rows = out.collect()
+        assert out.columns == docs.columns and all(r[n] == n for r in rows for n in names)
+        got = sorted(((r.doc_id, r.text) for r in rows), key=repr)
+        if name == "line dedup":
+            gone = brute.removed_lines(was)
+            want = [(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g))
+                    for (d, t), (_, g) in zip(was, gone)]
+            assert got == sorted(want, key=repr)
+        elif name == "n-gram Jaccard join":
+            keep = {(d, c) for d, _, c in brute.jaccard(was)}
+            dropped = {d for d, c in keep if d != c} - {d for d, c in keep if d == c}
+            assert got == sorted([x for x in was if x[0] not in dropped], key=repr)
+        elif name == "benchmark decontamination":
+            want = [x for x, (*_, bad) in zip(was, brute.contamination(was, items)) if not bad]
+            assert got == sorted(want, key=repr)
+        else:
+            assert set(got) <= set(was) and {(900_001, None), (900_002, "")} <= set(got)
+        docs = spark.createDataFrame(rows, out.schema)
+
+
 def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
