@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywise.llm import bpe, decontaminate, jaccard, lines, toxicity
+from tallywise.llm.common import own_names
 from tallywise.llm.queries import tokenizer_json, toxicity_model
 from tallywise.session import cut_lineage, recorded_scratch, remove_scratch, tune
 from tallywise.sources import views
@@ -31,21 +32,35 @@ def stage(fn: Stage) -> Stage:
     return run_stage
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but doc_id and text under names that no operator adds, and those names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = dict(zip(others, own_names(*(f"c{i}" for i in range(len(others))))))
+    return docs.select("doc_id", "text", *(F.col(c).alias(n) for c, n in named.items())), named
+
+
+def _back(docs: DataFrame, named: dict[str, str], columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(named.get(c, c)).alias(c) for c in columns))
+
+
 @stage
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; the model learns from the labelled ones among ``docs``."""
-    scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir), keep=tuple(docs.columns))
-    return scored.where("score < 0.5").select(*docs.columns)
+    own, named = _apart(docs)
+    scored = toxicity.score(own, toxicity_model(docs, spark, sf_dir), keep=tuple(own.columns))
+    return _back(scored.where("score < 0.5"), named, docs.columns)
 
 
 @stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, less the lines that repeat an earlier one; ``n_chars`` is that of the new text."""
-    cleaned = lines.dedup(docs)
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(
-            F.size("removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    own, named = _apart(docs)
+    cleaned = lines.dedup(own)
+    if "n_chars" in named:
+        n = named["n_chars"]
+        cleaned = cleaned.withColumn(n, F.when(
+            F.size("removed_lines") > 0, F.length("text")).otherwise(F.col(n)).cast(docs.schema["n_chars"].dataType))
+    return _back(cleaned, named, docs.columns)
 
 
 @stage
@@ -64,8 +79,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @stage
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words is in passages of 13 words of a benchmark item."""
-    judged = decontaminate.contamination(docs, views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20)
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    own, named = _apart(docs)
+    judged = decontaminate.contamination(own, views.table(spark, sf_dir, "benchmark"), window=13, share=1 / 20)
+    return _back(judged.where(~F.col("contaminated")), named, docs.columns)
 
 
 @stage
