@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywise.llm.common import (ask, ask_buckets, by_chunk, key_message, make_chunks, mix, pack, split_words,
-                                  stored_in_buckets, unpack, with_answers)
+from tallywise.llm.common import (ask, by_chunk, key_message, make_chunks, mix, pack, split_words, stored_in_buckets,
+                                  unpack, with_answers)
 from tallywise.session import cut_lineage, recorded_scratch, remove_scratch
 
 #: Text of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 STATE = "bucket long, words binary, counts binary, kinds binary"
 
 
@@ -80,6 +80,11 @@ def _with_ends(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def word_buckets(spark) -> int:
+    """Buckets of the vocabulary: as many as shuffle partitions, which the user sizes to the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass
 class _Chunk:
     """Texts as codes of words, the frequent ones first; ``by_key`` are the codes in order of their ``keys``."""
@@ -309,7 +314,7 @@ def fit(chunks: DataFrame, classes: int = 32, least: int = 10, rounds: int = 5,
     model is empty. What a round stores is removed by the next one.
     """
     spark = chunks.sparkSession
-    buckets = ask_buckets(spark)
+    buckets = word_buckets(spark)
     texts = chunks.mapInArrow(_count_texts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     asked = asked_words(chunks, buckets) if asked is None else asked
     before: list[str] = []
@@ -346,7 +351,7 @@ def score(docs: DataFrame, **settings) -> DataFrame:
     """
     docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(True)))
     chunks = chunks_of(docs)
-    buckets = ask_buckets(docs.sparkSession)
+    buckets = word_buckets(docs.sparkSession)
     asked = asked_words(chunks, buckets)
     model = fit(chunks, asked=asked, **settings)
     log_next, width, class_tokens = model.log_transitions(), model.width, model.class_tokens
