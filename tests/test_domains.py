@@ -315,7 +315,9 @@ def test_worker_functions_travel_by_value(tmp_path):
 
     from pyspark import cloudpickle
 
-    blob = cloudpickle.dumps(detection._suppress)
+    from tallywise.operators import trees
+
+    blob = cloudpickle.dumps((trees.grow, trees.SampleRows))
     done = subprocess.run([sys.executable, "-c", "import sys, pickle; pickle.loads(sys.stdin.buffer.read())"],
                           input=blob, cwd=tmp_path, capture_output=True, timeout=60)
     assert done.returncode == 0, done.stderr
