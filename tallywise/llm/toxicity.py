@@ -154,7 +154,7 @@ class ToxicityModel:
     prior: float
 
 
-def _portions(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that their arrays of words stay small."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -164,7 +164,8 @@ def _portions(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 6
 
 def _featured(docs: DataFrame, lexicon: dict, keep: list[str], name: str) -> DataFrame:
     """The columns ``keep`` of ``docs``, and as ``name`` the features of ``text``."""
-    (own,) = own_names("text")
+    # The text goes to the workers once, even where it is kept.
+    (own,) = ["text"] if "text" in keep else own_names("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _portions(batches, own):
@@ -175,7 +176,8 @@ def _featured(docs: DataFrame, lexicon: dict, keep: list[str], name: str) -> Dat
 
     kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-    return docs.select(*keep, F.col("text").alias(own)).mapInArrow(run, schema)
+    sent = [F.col(c) for c in keep] + [F.col("text").alias(own)] * ("text" not in keep)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def fit(labelled: DataFrame, most_rows: int = 10_000, trees: int = 30, depth: int = 4, seed: int = 7) -> ToxicityModel:
