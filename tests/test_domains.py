@@ -208,6 +208,22 @@ def test_one_crowded_frame(spark):
     assert detection.nms_boxes(df.limit(0)).collect() == []
 
 
+def test_colors_in_tasks_like_rounds(spark, monkeypatch):
+    """Images dealt to tasks and images that go by stored rounds have the same centres; null colours and images too."""
+    rng = np.random.default_rng(14)
+    rows = [(None if i == 5 else i, *(None if rng.random() < 0.03 else int(v) for v in rng.integers(0, 40, 3) * 6))
+            for i in range(8) for _ in range(int(rng.integers(2, 120)))] + [(9, None, 1, 2), (9, None, 1, 2), (10, 7, 7, 7)]
+    pixels = spark.createDataFrame(rows, "image_id long, r int, g int, b int")
+    found, rounds, settled = [], [], imaging._settled
+    monkeypatch.setattr(imaging, "_settled", lambda *a: rounds.append(1) or settled(*a))
+    for most in (200_000, 40, 0):
+        monkeypatch.setattr(imaging, "LOCAL_COLORS", most)
+        tables = [*imaging.kmeans_palettes(pixels, (4, 2, 1)), *imaging.kmeans_colors(pixels, 3)]
+        found.append([sorted(map(repr, t.collect())) for t in tables])
+        assert len(rounds) == (0 if most > 40 else 2 if most else 4)
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 3 * len({repr(r) for r in rows})
+
+
 # ---------------------------------------------------------------- timelines and sources
 
 def test_segments(spark):
