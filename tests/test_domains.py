@@ -224,6 +224,33 @@ def test_colors_in_tasks_like_rounds(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0][1]) == 3 * len({repr(r) for r in rows})
 
 
+def test_boxes_in_tasks_like_rounds(spark, monkeypatch):
+    """Frames dealt to tasks and frames that go by rounds keep the same boxes; nulls, odd scores and empty boxes too."""
+    rng = np.random.default_rng(15)
+    odd = [None, float("nan"), float("inf"), -0.0]
+    rows = []
+    for _ in range(700):
+        x, y, w, h = (int(v) for v in (*rng.integers(0, 60, 2), *rng.integers(-3, 25, 2)))
+        box = [None if rng.random() < 0.01 else v for v in (x, y, x + w, y + h)]
+        score = odd[int(rng.integers(4))] if rng.random() < 0.06 else float(rng.integers(0, 9)) / 8
+        frame = int(rng.integers(0, 12))
+        rows += [(None if frame == 3 else frame, *box, score)] * int(rng.integers(1, 3))
+    df = spark.createDataFrame(rows, "frame_id long, start_x int, start_y int, end_x int, end_y int, score double")
+    slow, by_rounds = [], detection._by_rounds
+    monkeypatch.setattr(detection, "_by_rounds", lambda b, o: slow.append(b.count()) or by_rounds(b, o))
+    for overlap in (0.0, 0.3):
+        found = []
+        for most in (1_500, 110, 0):
+            monkeypatch.setattr(detection, "LOCAL_BOXES", most)
+            found.append(sorted(map(repr, detection.nms_boxes(df, overlap).collect())))
+        assert found[0] == found[1] == found[2]
+    alone = df.where("frame_id is not null")
+    slow.clear()
+    monkeypatch.setattr(detection, "LOCAL_BOXES", 1_500)
+    detection.nms_boxes(alone).collect()
+    assert not slow
+
+
 # ---------------------------------------------------------------- timelines and sources
 
 def test_segments(spark):
