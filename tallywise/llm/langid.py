@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywise.llm.common import stored_in_buckets
 from tallywise.session import cut_lineage
 
 BUCKETS = 1 << 16
@@ -224,8 +225,8 @@ def fit(labelled: DataFrame, most_rows: int = 2000, rounds: int = 6, shards: int
     rows = cut_lineage(near.select("y", "mark", "text").mapInArrow(
         featured, "y int, mark long, buckets array<int>, vals array<double>")
         .withColumn("shard", F.pmod(F.shiftright("mark", 8), F.lit(5 * shards)).cast("int")))
-    teach = cut_lineage(rows.where(F.col("shard") < 4 * shards).withColumn("shard", F.pmod("shard", F.lit(shards)))
-                        .repartition(shards, "shard").sortWithinPartitions("shard", "mark"))
+    # In buckets: a round reads its shards where they lie and moves states alone.
+    teach = stored_in_buckets(rows.where(F.col("shard") < 4 * shards).withColumn("shard", F.pmod("shard", F.lit(shards))), "shard")
     rates = (alpha, beta, l1, l2)
     z, n = (np.zeros((len(langs), BUCKETS + 1)) for _ in range(2))
     for _ in range(rounds):

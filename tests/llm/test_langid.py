@@ -122,3 +122,15 @@ def test_odd_rows(spark, docs, no_docs):
     same = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("le chat").alias("text"),
                                     F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"))
     assert langid.fit(same, most_rows=20).langs == ["a", "b"]
+
+
+def test_rounds_move_no_texts(spark, monkeypatch):
+    """The rows a model learns from are stored by shard once; a round reads them without an exchange."""
+    docs = spark.createDataFrame([(i, f"{'ein und der' if i % 2 else 'the of and'} wort {i}", "de" if i % 2 else "en")
+                                  for i in range(60)], "doc_id long, text string, lang string")
+    seen, one = [], langid._round
+    monkeypatch.setattr(langid, "_round", lambda teach, *a: seen.append(teach) or one(teach, *a))
+    model = langid.fit(docs, rounds=2)
+    assert model.langs == ["de", "en"] and len(seen) == 2
+    plan = seen[0].groupBy("shard").count()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("Physical Plan")[-1]
