@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tallywise.functions.scalars import parse_list_literal, softmax
-from tallywise.functions.text import drop_stop_words, one_and_two_grams, term_tokens, words
+from tallywise.functions.text import drop_stop_words, term_tokens, words
 from tallywise.session import cut_lineage
 
 # Fixed values of the published rule-based sentiment method.
@@ -82,12 +86,59 @@ def jaccard_mean(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 # ---------------------------------------------------------------- TF-IDF
 
-def _terms(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str]) -> DataFrame:
-    """Each one- and two-word term of each text, stop words dropped first."""
-    tokens = drop_stop_words(term_tokens(F.col(text)), stop_words)
-    grams = df.select(id_col, tokens.alias("_t")).select(id_col, one_and_two_grams(F.col("_t")).alias("_g"))
-    # The outer form: the inner one would build the array again to test that it is not empty.
-    return grams.select(id_col, F.explode_outer("_g").alias("term")).where(F.col("term").isNotNull())
+class _Grams:
+    """The words of an Arrow batch of token lists as numbers, and its pairs of neighbours, both without stop words."""
+
+    def __init__(self, tokens: pa.Array, stop_words: Sequence[str]):
+        flat = pc.list_flatten(tokens).dictionary_encode()
+        self.words, word = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = ~pc.is_in(self.words, pa.array(stop_words, pa.string())).to_numpy(zero_copy_only=False).astype(bool)[word]
+        self.word, self.row = word[kept], pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)[kept]
+        self.first = np.flatnonzero(self.row[1:] == self.row[:-1])
+        self.pair = self.word[self.first] * max(1, len(self.words)) + self.word[self.first + 1]
+
+    def joined(self, pairs: np.ndarray) -> pa.Array:
+        left, right = (self.words.take(pa.array(x)) for x in np.divmod(pairs, max(1, len(self.words))))
+        return pc.binary_join_element_wise(left, right, " ")
+
+
+def term_totals(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """Each one- and two-word term of the corpus, stop words dropped first, with how often it occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = _Grams(batch.column("_t"), stop_words)
+            words, count = np.unique(grams.word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([grams.words.take(pa.array(words)), pa.array(count.astype(np.int64))], ["term", "n"])
+            pairs, count = np.unique(grams.pair, return_counts=True)
+            yield pa.RecordBatch.from_arrays([grams.joined(pairs), pa.array(count.astype(np.int64))], ["term", "n"])
+
+    stop_words = list(stop_words)
+    return df.select(term_tokens(F.col(text)).alias("_t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
+
+
+def _known_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """How often each of ``terms`` occurs in each text; rows that share an id are one text."""
+    known = pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda found: pc.fill_null(pc.index_in(found, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in batches:
+            grams = _Grams(batch.column("_t"), stop_words)
+            one = number(grams.words)[grams.word]
+            pairs, where = np.unique(grams.pair, return_inverse=True)
+            term = np.concatenate((one, number(grams.joined(pairs))[where]))
+            key = (np.concatenate((grams.row, grams.row[grams.first])) * len(terms) + term)[term >= 0]
+            key, count = np.unique(key, return_counts=True)
+            row, term = np.divmod(key, max(1, len(terms)))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(row)), pa.array(term.astype(np.int32)),
+                                              pa.array(count.astype(np.int64))], [id_col, "_no", "n"])
+
+    stop_words = list(stop_words)
+    schema = T.StructType([df.schema[id_col], T.StructField("_no", T.IntegerType()), T.StructField("n", T.LongType())])
+    found = df.select(id_col, term_tokens(F.col(text)).alias("_t")).mapInArrow(run, schema)
+    # Numbers are shuffled, not the terms.
+    names = df.sparkSession.createDataFrame(list(enumerate(terms)), "_no int, term string")
+    return found.groupBy(id_col, "_no").agg(F.sum("n").alias("tf")).join(F.broadcast(names), "_no").select(id_col, "term", "tf")
 
 
 def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str],
@@ -95,15 +146,12 @@ def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str]
     """Stored counts per text and term, and the vocabulary with its document frequency.
 
     The vocabulary is the ``size`` most frequent terms of the corpus. They are found first, from
-    counts that carry no text id; only their occurrences are then counted per text. The cut to
-    ``size`` rows bounds the broadcast.
+    counts that carry no text id; only their occurrences are then counted per text. Words are numbered
+    and counted a batch at a time, so that no row is made for an occurrence. The cut to ``size`` rows
+    bounds what the driver sends to the tasks.
     """
-    terms = _terms(df, id_col, text, stop_words)
-    top = cut_lineage(
-        terms.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-        .orderBy(F.col("total").desc(), "term").limit(size))
-    counts = cut_lineage(
-        terms.join(F.broadcast(top.select("term")), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    top = cut_lineage(term_totals(df, text, stop_words).orderBy(F.col("total").desc(), "term").limit(size))
+    counts = cut_lineage(_known_counts(df, id_col, text, stop_words, [r["term"] for r in top.select("term").collect()]))
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(top), "term")
     return counts, vocabulary.select("term", "total", "df")
 

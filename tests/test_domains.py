@@ -42,6 +42,28 @@ def test_tags_round_trip_and_jaccard(spark):
     assert text.jaccard_mean(pairs, "x", "y").first()["jaccard"] == 25.0
 
 
+def test_terms_like_plain(spark):
+    """Totals and counts of one- and two-word terms; shared ids, nulls and texts without words; no row for an occurrence."""
+    rng = np.random.default_rng(16)
+    vocabulary = ["aa", "bb", "the", "é1", "_x", "dd", "q"]
+    rows = [(None if i % 11 == 0 else i // 2, " ".join(rng.choice(vocabulary, int(rng.integers(0, 30))))) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "q !"), (73, "Aa-bb")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    total, per = {}, {}
+    for i, t in rows:
+        w = [x for x in (t or "").lower().replace("-", " ").split() if len(x) > 1 and x != "the"]
+        for term in [*w, *map(" ".join, zip(w, w[1:]))]:
+            total[term] = total.get(term, 0) + 1
+            per[i, term] = per.get((i, term), 0) + 1
+    want = sorted(total, key=lambda x: (-total[x], x))[:20]
+    counts, terms = text.term_counts(df, "id", "t", ["the"], 20)
+    assert {(r["id"], r["term"]): r["tf"] for r in counts.collect()} == {k: v for k, v in per.items() if k[1] in want}
+    assert {r["term"]: (r["total"], r["df"]) for r in terms.collect()} == {
+        x: (total[x], sum(k[1] == x for k in per)) for x in want}
+    assert text.term_counts(df.limit(0), "id", "t", ["the"])[1].collect() == []
+    assert "Generate" not in text.term_totals(df, "t", ["the"])._jdf.queryExecution().toString()
+
+
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(1, "red red car"), (2, "blue car"), (3, "the")], "id int, t string")
     got = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(df, "id", "t", ["the"]).collect()}
