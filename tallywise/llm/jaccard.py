@@ -26,6 +26,8 @@ from tallywise.llm.common import (CHUNK_SCHEMA, Words, answer, ask, ask_buckets,
 from tallywise.session import cut_lineage
 
 TOKENS_PER_BATCH = 500_000
+#: Text of a chunk; a task's hashes and orders take many times as much.
+CHUNK_BYTES = 4 << 20
 
 
 def _needed(n, percent: int):
@@ -104,7 +106,7 @@ def token_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                             "node": pa.array(sets.node[part], pa.binary()),
                             "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
-    chunks = make_chunks(docs.select("doc_id", "text"), build).repartition("chunk")
+    chunks = make_chunks(docs.select("doc_id", "text"), build, CHUNK_BYTES).repartition("chunk")
     answers = answer(ask(chunks, messages, buckets), seen_elsewhere)
     return with_answers(chunks, answers, use, "doc_id long, n long, node binary, tokens array<long>")
 
