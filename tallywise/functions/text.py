@@ -45,9 +45,13 @@ def term_tokens(text: Column) -> Column:
 
 def one_and_two_grams(tokens: Column) -> Column:
     """The tokens, then each pair of neighbours joined by a space."""
-    pairs = F.zip_with(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(tokens, pairs)
+    def grams(own: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))),
+            F.slice(own, 2, F.greatest(F.size(own), F.lit(1))),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+        return F.concat(own, pairs)
+
+    # The tokens are bound to a variable: written out, their expression would be worked out five times a row.
+    return F.get(F.transform(F.array(tokens), grams), F.lit(0))

@@ -12,10 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywise.session import shared_dir
+
 
 @dataclass
 class HingeModel:
@@ -58,11 +61,16 @@ def learn(weights: np.ndarray, intercepts: np.ndarray, rows, t: float, alpha: fl
 
 def sparse(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index and value arrays of a column of vectors, sparse or dense."""
-    kinds, indices, values = (column.field(n) for n in ("type", "indices", "values"))
-    for kind, index, value in zip(kinds.to_pylist(), indices, values):
-        value = value.values.to_numpy(zero_copy_only=False) if len(value) else np.empty(0)
-        yield (index.values.to_numpy(zero_copy_only=False) if kind == 0 else np.arange(len(value))) \
-            if len(value) else np.empty(0, np.int32), value
+    kinds = column.field("type").to_pylist()
+    (index, index_at, _), (value, value_at, value_to) = (_lists(column.field(n)) for n in ("indices", "values"))
+    for kind, i, a, b in zip(kinds, index_at, value_at, value_to):
+        yield index[i:i + b - a] if kind == 0 else np.arange(b - a), value[a:b]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, list[int], list[int]]:
+    """The flat values of a column of lists, and where each list begins and ends; a null list is empty."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return column.flatten().to_numpy(zero_copy_only=False), [0, *ends[:-1].tolist()], ends.tolist()
 
 
 def fit_hinge(rows: DataFrame, indicators: str, labels: int, size: int, alpha: float = 1e-4, tolerance: float = 1e-3,
@@ -70,23 +78,27 @@ def fit_hinge(rows: DataFrame, indicators: str, labels: int, size: int, alpha: f
     """One model for each of ``labels`` indicators on ``rows(row_id, indicators, features)``; ``size`` features.
 
     Passes end when the mean loss has not fallen by ``tolerance`` for ``patience`` of them. Rows are dealt to shards
-    by a hash of ``row_id`` and seen in its order, so that the models do not depend on partitions. The driver holds
-    the weights, ``labels`` times ``size`` numbers.
+    by a hash of ``row_id`` and seen in its order, so that the models do not depend on partitions. They are stored as
+    they are dealt, so that a pass moves and sorts nothing. The driver holds the weights, ``labels`` times ``size`` numbers.
     """
     mark = F.xxhash64(row_id, F.lit(seed))
     dealt = rows.select(F.pmod(mark, F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"),
                         F.col(indicators).alias("y"), F.col("features").alias("x")).repartition(shards, "shard") \
-        .sortWithinPartitions("shard", "mark")
+        .sortWithinPartitions("shard", "mark").select("y", "x")
     hits = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get(indicators, F.lit(i))).alias(f"h{i}") for i in range(labels)]).first()
     used = np.array([0 < (hits[f"h{i}"] or 0) < hits["n"] for i in range(labels)], bool)
     weights, intercepts = np.zeros((labels, size)), np.zeros(labels)
     best, waited, t = math.inf, 0, first_step(alpha)
+    if used.any():
+        shared_dir(rows.sparkSession)
+        dealt = dealt.checkpoint()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def seen():
             for batch in batches:
-                for (index, value), y in zip(sparse(batch.column("x")), batch.column("y")):
-                    yield index, value, 2.0 * np.array(y.as_py(), float) - 1.0
+                y = 2.0 * batch.column("y").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, labels) - 1.0
+                for (index, value), own in zip(sparse(batch.column("x")), y):
+                    yield index, value, own
 
         w, b, loss, n = learn(weights, intercepts, seen(), t, alpha)
         if n:

@@ -116,8 +116,8 @@ def term_totals(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFram
     return df.select(term_tokens(F.col(text)).alias("_t")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("total"))
 
 
-def _known_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], terms: Sequence[str]) -> DataFrame:
-    """How often each of ``terms`` occurs in each text; rows that share an id are one text."""
+def _numbered(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], terms: Sequence[str]) -> DataFrame:
+    """``id, _no, n``: how often each of ``terms``, by its number, occurs in each row of ``df``."""
     known = pa.array(terms, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +135,15 @@ def _known_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[st
 
     stop_words = list(stop_words)
     schema = T.StructType([df.schema[id_col], T.StructField("_no", T.IntegerType()), T.StructField("n", T.LongType())])
-    found = df.select(id_col, term_tokens(F.col(text)).alias("_t")).mapInArrow(run, schema)
+    return df.select(id_col, term_tokens(F.col(text)).alias("_t")).mapInArrow(run, schema)
+
+
+def _top_terms(df: DataFrame, text: str, stop_words: Sequence[str], size: int) -> tuple[DataFrame, list[str], DataFrame]:
+    """The ``size`` most frequent terms: stored with their totals, as a list, and with the numbers of ``_numbered``."""
+    top = cut_lineage(term_totals(df, text, stop_words).orderBy(F.col("total").desc(), "term").limit(size))
+    terms = [r["term"] for r in top.select("term").collect()]
     # Numbers are shuffled, not the terms.
-    names = df.sparkSession.createDataFrame(list(enumerate(terms)), "_no int, term string")
-    return found.groupBy(id_col, "_no").agg(F.sum("n").alias("tf")).join(F.broadcast(names), "_no").select(id_col, "term", "tf")
+    return top, terms, F.broadcast(df.sparkSession.createDataFrame(list(enumerate(terms)), "_no int, term string"))
 
 
 def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str],
@@ -150,15 +155,20 @@ def term_counts(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str]
     and counted a batch at a time, so that no row is made for an occurrence. The cut to ``size`` rows
     bounds what the driver sends to the tasks.
     """
-    top = cut_lineage(term_totals(df, text, stop_words).orderBy(F.col("total").desc(), "term").limit(size))
-    counts = cut_lineage(_known_counts(df, id_col, text, stop_words, [r["term"] for r in top.select("term").collect()]))
+    top, terms, names = _top_terms(df, text, stop_words, size)
+    found = _numbered(df, id_col, text, stop_words, terms)
+    # Rows that share an id are one text.
+    counts = cut_lineage(found.groupBy(id_col, "_no").agg(F.sum("n").alias("tf")).join(names, "_no").select(id_col, "term", "tf"))
     vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(top), "term")
     return counts, vocabulary.select("term", "total", "df")
 
 
 def vocabulary(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], size: int = 5000) -> DataFrame:
-    """The most frequent terms with their total and their document frequency."""
-    return term_counts(df, id_col, text, stop_words, size)[1]
+    """The most frequent terms with their total and their document frequency; no counts per text are stored."""
+    top, terms, names = _top_terms(df, text, stop_words, size)
+    texts = _numbered(df, id_col, text, stop_words, terms).select(id_col, "_no").distinct()
+    counted = texts.groupBy("_no").agg(F.count(F.lit(1)).alias("df")).join(names, "_no")
+    return counted.join(F.broadcast(top), "term").select("term", "total", "df")
 
 
 def tfidf(df: DataFrame, id_col: str, text: str, stop_words: Sequence[str], size: int = 5000) -> DataFrame:

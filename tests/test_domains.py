@@ -64,6 +64,28 @@ def test_terms_like_plain(spark):
     assert "Generate" not in text.term_totals(df, "t", ["the"])._jdf.queryExecution().toString()
 
 
+def test_vocabulary_stores_no_counts_per_text(spark, monkeypatch):
+    """Rows that share an id, also a null one, are one text."""
+    rows = [(1, "red red car"), (1, "red car"), (2, "blue car"), (None, "red"), (None, "red blue"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    want = sorted(text.term_counts(df, "id", "t", ["the"], 4)[1].collect())
+    stored, cut = [], text.cut_lineage
+    monkeypatch.setattr(text, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    got = text.vocabulary(df, "id", "t", ["the"], 4)
+    assert got.columns == ["term", "total", "df"] and sorted(got.collect()) == want
+    assert stored == [["term", "total"]] and ("red", 5, 2) in want
+    assert text.vocabulary(df.limit(0), "id", "t", ["the"]).collect() == []
+
+
+def test_grams_split_a_text_once(spark):
+    df = spark.createDataFrame([(1, "Red the red car"), (2, "car"), (3, ""), (4, None)], "id int, t string")
+    space = models.TermSpace(["red", "red red", "car", "red car"], [1.0] * 4, ["the"])
+    out = space.transform(df, "t")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {r["id"]: r["features"].toArray() * 6 ** 0.5 for r in out.where("id < 4").collect()}
+    assert np.allclose(got[1], [2, 1, 1, 1] * np.sqrt([6 / 7])) and np.allclose(got[2], [0, 0, 6 ** 0.5, 0]) and not got[3].any()
+
+
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(1, "red red car"), (2, "blue car"), (3, "the")], "id int, t string")
     got = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(df, "id", "t", ["the"]).collect()}
