@@ -31,14 +31,15 @@ def _order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, where[order]
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, chunk_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, ids, decoded`` for each row of ``docs(doc_id, text, ...)``.
 
     ``tokenizer`` is the JSON text of a tokenizer of the tokenizers library whose pre-tokens end at white
     space and which drops white space. ``ids`` are those of the whole text without added special tokens;
     the strings of special tokens in a text become their ids. ``decoded`` is the pieces joined by one space,
     as a tokenizer without decoder writes them. A null or empty text has no ids and decodes to "". Rows
-    that repeat, or share a doc_id, each give their row; other columns are not used.
+    that repeat, or share a doc_id, each give their row; other columns are not used. A task holds ``chunk_bytes``
+    of text at a time; smaller chunks need less memory and send more words, as each sends its distinct words.
     """
     spark = docs.sparkSession
     buckets = ask_buckets(spark)
@@ -96,7 +97,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
                             "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                             "decoded": pa.array(decoded, pa.string())})
 
-    chunks = make_chunks(docs.select("doc_id", "text"), build).repartition("chunk")
+    chunks = make_chunks(docs.select("doc_id", "text"), build, chunk_bytes).repartition("chunk")
     answers = answer(ask(chunks, messages, buckets), reply)
     return with_answers(chunks, answers, use, "doc_id long, ids array<int>, decoded string")
 
