@@ -38,6 +38,36 @@ def test_bpe_as_the_library(docs, corpus):
         (d, len(i), sha(" ".join(map(str, i))), sha(x)) for d, i, x in want)
 
 
+def test_bpe_in_small_chunks(docs, monkeypatch):
+    """The pipeline's last stage takes less text at a time than the operator by itself; the rows are the same."""
+    import corpus_pipeline
+
+    sizes, make_chunks = [], bpe.make_chunks
+    monkeypatch.setattr(bpe, "make_chunks", lambda d, build, most: sizes.append(most) or make_chunks(d, build, most))
+    few = bpe.encode(docs, TOKENIZER, 2000).collect()
+    assert ordered((r.doc_id, r.ids, r.decoded) for r in few) == ordered((r.doc_id, r.ids, r.decoded) for r in bpe.encode(docs, TOKENIZER).collect())
+    corpus_pipeline.tokens(docs.sparkSession, docs, "")
+    assert sizes == [2000, 12 << 20, corpus_pipeline.TOKEN_CHUNK_BYTES] and sizes[2] < sizes[1]
+
+
+def test_lookups_hand_freed_memory_back(monkeypatch):
+    import pyarrow as pa
+    from tallywise.llm import common
+
+    class Asked:
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, run, _):
+            return run
+
+    given = []
+    monkeypatch.setattr(common, "_release", lambda: given.append(1))
+    table = pa.table({"bucket": [0, 0], "chunk": [2, 1], "message": pa.array([common.pack([2]), common.pack([1])], pa.binary())})
+    out = common.answer(Asked(), lambda asked: asked)(table)
+    assert [common.unpack(m.as_buffer()) for m in out.column("message")] == [[1], [2]] and given == [1]
+
+
 def test_bpe_decodes_by_join(spark):
     ids = spark.createDataFrame([(1, [320, 444, 320]), (2, []), (3, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in bpe.decode(ids, TOKENIZER).collect()} == {
