@@ -2,6 +2,9 @@
 
 from types import SimpleNamespace
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from tallywise.plans import studies
 from tallywise.plans.catalog import BOOSTERS, LEXICON, MONTHS, NEGATIONS
@@ -60,3 +63,30 @@ def test_credit_queries_search_all_candidates(spark, monkeypatch):
     searched.clear()
     queries["credit_risk_importance"](spark, SF)
     assert searched == [("tree", 30, 5)]
+
+
+def test_credit_rows_are_joined_once_in_parts(spark, monkeypatch):
+    """What made the loans runs once for each row, and parts of the loans hold each row once."""
+    whole = views.loans(spark, SF)
+    monkeypatch.setattr(views, "LOAN_ROWS", 1000)
+    parts = views.loan_parts(spark, SF)
+    assert len(parts) > 3 and all(p.count() > 0 for p in parts)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert sorted(r for p in parts for r in rows(p)) == rows(whole)
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def marked(x):
+        seen.add(1)
+        return x
+
+    numbers, categories = list(views.LOAN_NUMBERS), list(views.LOAN_CATEGORIES)
+    counted = [p.withColumn("label", F.udf(marked, "int")("label")) for p in parts]
+    train, test = studies._prepared(counted, numbers, categories, "label", "row_id", 0.7, 0, True)
+    assert train.count() + test.count() == whole.count() == seen.value
+    one, none = studies._prepared(whole, numbers, categories, "label", "row_id", 0.7, 0)
+    assert none is None and one.columns == train.columns == ["row_id", "label", "weight", "features"]
+    ids = lambda df: rows(df.select("row_id", "label", F.round("weight", 9)))
+    assert ids(one) == ids(train) and set(test.columns) == {"row_id", "label", "features"}
+    near = lambda df: np.array([r.features.toArray() for r in df.orderBy("row_id", F.col("features").cast("string")).collect()])
+    assert np.allclose(near(one), near(train))
